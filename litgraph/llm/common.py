@@ -159,9 +159,9 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.nd
         begin = np.concatenate([[0], np.cumsum(count)])
         extra = np.zeros(len(short), np.uint64)
         for x, i in enumerate(short):
-            v = np.uint64(0)
-            for w in h[begin[i] : begin[i + 1]]:
-                v = v * a + w
+            v = 0
+            for w in h[begin[i] : begin[i + 1]].tolist():
+                v = (v * int(a) + w) & 0xFFFFFFFFFFFFFFFF
             extra[x] = v
         s, d, at = np.concatenate([s, mix(extra + np.uint64(1))]), np.concatenate([d, short]), np.concatenate([at, begin[short]])
         order = np.argsort(d, kind="stable")

@@ -19,5 +19,35 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_token_files": op1_token_files}
+def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op6_hash_tree": op6_hash_tree,
+    "op8_prob_minhash": op8_prob_minhash,
+    "op9_discriminant": op9_discriminant,
+    "op10_best_fit": op10_best_fit,
+}
 ORACLES: dict[str, str] = {}
