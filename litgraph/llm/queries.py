@@ -19,6 +19,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets_scan import secrets
+
+    return secrets(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -45,6 +57,8 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_secrets": op3_secrets,
+    "op5_simhash_leaks": op5_simhash_leaks,
     "op6_hash_tree": op6_hash_tree,
     "op8_prob_minhash": op8_prob_minhash,
     "op9_discriminant": op9_discriminant,
