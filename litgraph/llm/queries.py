@@ -19,12 +19,24 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_rules import verdicts
+
+    return verdicts(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets_scan import secrets
 
     return secrets(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import licenses
+
+    return licenses(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -57,7 +69,9 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_line_rules": op2_line_rules,
     "op3_secrets": op3_secrets,
+    "op4_licenses": op4_licenses,
     "op5_simhash_leaks": op5_simhash_leaks,
     "op6_hash_tree": op6_hash_tree,
     "op8_prob_minhash": op8_prob_minhash,
