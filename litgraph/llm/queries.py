@@ -49,6 +49,12 @@ def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_site_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_tree import extract
+
+    return extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_simhash_leaks": op5_simhash_leaks,
     "op6_hash_tree": op6_hash_tree,
+    "op7_site_trees": op7_site_trees,
     "op8_prob_minhash": op8_prob_minhash,
     "op9_discriminant": op9_discriminant,
     "op10_best_fit": op10_best_fit,
