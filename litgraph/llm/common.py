@@ -48,6 +48,15 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Rows up to which a written table may be broadcast in a join, after it is counted.
+MOST_BROADCAST = 200_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Marks a written table for broadcast if it has few rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

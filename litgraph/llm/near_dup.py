@@ -8,10 +8,11 @@ band of registers are candidates; the similarity of a candidate pair is then com
 ``THRESHOLD`` or more are links. Classes are the connected components of the links, and equal texts.
 
 At ``BANDS`` bands of ``ROWS`` registers, a pair of similarity 0.8 is a candidate with probability 0.9996, of 0.9 with
-more than 1 - 1e-7. No bucket is ever expanded into all its pairs. In each round every member of a bucket meets a few
-pivots of its bucket, unless they are in one class already; buckets whose members are all in one class are done. The last
-round pairs what remains of different classes within the buckets that are left, without exception, so no link between
-classes is lost.
+more than 1 - 1e-7. No bucket is ever expanded into all its pairs. First every member meets its bucket's pivot, which joins
+most members of a group; buckets whose members are all in one class are done. Texts whose classes still meet in a bucket
+are then compared in blocks of bounded size, all with all: two matrix products bound the similarity of all pairs of two
+blocks, and pairs of different classes that the bound lets through are verified. So no link between classes is lost, and no
+pair becomes a row unless it is a link.
 
 Words are runs of ASCII letters (case ignored), digits and other characters beyond ASCII. Texts of fewer than five words
 have one shingle of all; texts without words (and null, which counts as empty) are in a class only with equal texts. Null
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shared_dir, shingles, slices, stored, text_bytes, words
+from .common import mix, shared_dir, shingles, slices, small, stored, text_bytes, words
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Pivots of each bucket in each round; after these, all pairs between the classes that a bucket still holds.
-PIVOTS = (1, 4, 12)
+#: Texts and characters of a block, and columns of the matrices that compare two.
+BLOCK, BLOCK_CHARS, COLUMNS = 200, 2_000_000, 4096
 #: Bits of the filter that keeps texts without candidates out of the shuffle: 4 MB, whatever the corpus.
 FILTER_BITS = 1 << 25
 
@@ -154,21 +155,16 @@ def candidate_texts(docs: DataFrame, keys: DataFrame, folder: str) -> DataFrame:
                 yield batch.select(["key", "text"]).filter(pa.array(ok))
 
     likely = keyed.mapInArrow(task, "key binary, text string")
-    return stored(likely.join(keys, "key", "left_semi").dropDuplicates(["key"]), f"{folder}/texts")
+    return stored(likely.join(small(keys), "key", "left_semi").dropDuplicates(["key"]), f"{folder}/texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys that are similar, with their similarity."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-            element, doc, weight = text_shingles(column)
-            at = np.searchsorted(doc, np.arange(len(column) + 1))
-            return [(element[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-
         for batch in batches:
             for part in slices(batch, "text_a", 1 << 20):
-                x, y = vectors(part.column("text_a")), vectors(part.column("text_b"))
+                x, y = _vectors(part.column("text_a").to_pylist()), _vectors(part.column("text_b").to_pylist())
                 s = np.asarray([probability_jaccard(p, q) for p, q in zip(x, y, strict=True)], float)
                 out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s)], names=["a", "b", "similarity"])
                 yield out.filter(pa.array(s >= THRESHOLD - 1e-12))
@@ -178,18 +174,112 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(task, "a binary, b binary, similarity double")
 
 
-def _pairs(members: DataFrame, pivots: int | None, seed: int, folder: str) -> DataFrame:
-    """Candidate pairs (a, b) of different labels. members: bucket, key, label."""
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *[F.min(F.struct(F.xxhash64(F.lit(seed + i), "key").alias("rank"), "key", "label")).alias(f"p{i}") for i in range(pivots or 0)])
-    mixed = stored(mixed.where("lo <> hi").drop("lo", "hi"), f"{folder}/pivots{seed}")
-    if pivots:
-        met = members.join(mixed, "bucket").select("key", "label", F.explode(F.array(*[f"p{i}" for i in range(pivots)])).alias("p"))
-        met = met.select("key", "label", F.col("p.key").alias("other"), F.col("p.label").alias("other_label"))
-    else:
-        left = members.join(mixed, "bucket")
-        met = left.join(left.select("bucket", F.col("key").alias("other"), F.col("label").alias("other_label")), "bucket").where("key < other")
-    met = met.where(F.col("label") != F.col("other_label"))
-    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+def _first_pairs(members: DataFrame, folder: str) -> DataFrame:
+    """Pairs (a, b) of each member and its bucket's pivot: the member of the least hash, the same in many bands."""
+    pivots = stored(members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("rank"), "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot")), f"{folder}/pivots")
+    met = members.join(small(pivots), "bucket").where("key <> pivot")
+    return stored(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), f"{folder}/pairs")
+
+
+def bounds(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """An upper bound of the similarity of each text of x to each of y, exact where all counts are 1.
+
+    With u and v the shares of a pair's weights that the other text lacks, it is (1-u)(1-v) / (1-uv). The shares of all pairs
+    are products of two matrices over the shingles that stand in both lists, taken some thousand columns at a time.
+    """
+    common = np.intersect1d(np.unique(np.concatenate([e for e, _ in x])), np.unique(np.concatenate([e for e, _ in y])), assume_unique=True)
+    seen_x, seen_y = np.zeros((len(x), len(y)), np.float32), np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+
+        def dense(side: list[tuple[np.ndarray, np.ndarray]], part: np.ndarray = part) -> np.ndarray:
+            out = np.zeros((len(side), len(part)), np.float32)
+            for r, (e, w) in enumerate(side):
+                c = np.searchsorted(part, e)
+                ok = c < len(part)
+                ok[ok] = part[c[ok]] == e[ok]
+                out[r, c[ok]] = w[ok] / w.sum()
+            return out
+
+        p, q = dense(x), dense(y)
+        seen_x += p @ (q > 0).T.astype(np.float32)
+        seen_y += (p > 0).astype(np.float32) @ q.T
+    return seen_x * seen_y / np.maximum(1 - (1 - seen_x) * (1 - seen_y), 1e-9)
+
+
+def block_links(one: list[dict], other: list[dict] | None) -> list[tuple[bytes, bytes, float]]:
+    """Links between different classes within a block, or between two, enough to join all classes that links join."""
+    x = _vectors([r["text"] for r in one])
+    y = x if other is None else _vectors([r["text"] for r in other])
+    right = one if other is None else other
+    high = bounds(x, y) >= THRESHOLD - 1e-4
+    left_label, right_label = [r["label"] for r in one], [r["label"] for r in right]
+    parent: dict[bytes, bytes] = {}
+
+    def root(v: bytes) -> bytes:
+        while parent.get(v, v) != v:
+            v = parent[v]
+        return v
+
+    out = []
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(high)), strict=True):
+        if other is None and j <= i:
+            continue
+        a, b = root(left_label[i]), root(right_label[j])
+        if a != b and (s := probability_jaccard(x[i], y[j])) >= THRESHOLD - 1e-12:
+            parent[max(a, b)] = min(a, b)
+            out.append((one[i]["key"], right[j]["key"], s))
+    return out
+
+
+def _vectors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    element, doc, weight = text_shingles(pa.array(texts, pa.string()))
+    at = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [(element[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) between classes that still meet in a bucket.
+
+    Classes that meet, directly or through others, are a neighbourhood; its texts are dealt into blocks of a bounded number
+    and size, and every two blocks are compared in one task: no pair becomes a row before it is verified.
+    """
+    labelled = stored(members.join(small(labels), "key"), f"{folder}/labelled")
+    mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "lo"), f"{folder}/mixed")
+    met = stored(labelled.join(small(mixed), "bucket").select("key", "label", "lo").distinct(), f"{folder}/met")
+    around = components(met.select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("around"))
+    placed = met.select("key", "label").distinct().join(small(around), "label")
+    placed = texts.join(small(stored(placed, f"{folder}/around")), "key")
+    placed = stored(placed.select("around", "key", "label", "text"), f"{folder}/placed")
+    sizes = placed.groupBy("around").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    sizes = stored(sizes, f"{folder}/sizes0")
+    dealt = placed.join(small(sizes), "around").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    lists = stored(dealt.groupBy("around", "block", "blocks").agg(F.collect_list(F.struct("key", "label", "text")).alias("one")), f"{folder}/lists")
+    same = lists.select("one", F.lit(None).cast(lists.schema["one"].dataType).alias("other"))
+    left = lists.where("blocks > block + 1").select("around", "one", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
+    cross = left.join(lists.select("around", "block", F.col("one").alias("other")), ["around", "block"]).select("one", "other")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                got = block_links(batch.column("one")[i].as_py(), batch.column("other")[i].as_py())
+                if got:
+                    a, b, s = map(list, zip(*got, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+
+    rows = same.where(F.size("one") > 1).union(cross)
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartition(many).mapInArrow(task, "a binary, b binary, similarity double"), f"{folder}/rest")
+
+
+def _joined(labels: DataFrame, links: DataFrame, to: str) -> DataFrame:
+    """Labels after the classes of the links' ends are joined."""
+    if not links.limit(1).count():
+        return labels
+    of = lambda c: small(labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}")))
+    edges = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    merged = components(edges).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return stored(labels.join(small(merged), "label", "left").select("key", F.coalesce("root", "label").alias("label")), to)
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
@@ -199,27 +289,13 @@ def classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
     spread = rows.select(F.explode("bands").alias("bucket"), "key")
     mark = F.xxhash64("key")
     shared = stored(spread.groupBy("bucket").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("bucket"), f"{folder}/shared")
-    members = stored(spread.join(shared, "bucket").distinct(), f"{folder}/members")
+    members = stored(spread.join(small(shared), "bucket").distinct(), f"{folder}/members")
     labels = stored(members.select("key").distinct().withColumn("label", F.col("key")), f"{folder}/labels")
     texts = candidate_texts(docs, labels.select("key"), folder)
-    tested = None
-    for at, pivots in enumerate((*PIVOTS, None)):
-        labelled = stored(members.join(labels, "key"), f"{folder}/labelled{at}")
-        pairs = _pairs(labelled, pivots, at * 100, folder)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"{folder}/pairs{at}")
-        links = stored(verified(pairs, texts), f"{folder}/links{at}")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not links.limit(1).count():
-            if not pairs.limit(1).count():
-                break
-            continue
-        of = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
-        edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
-        merged = components(edges).select(F.col("node").alias("label"), F.col("label").alias("root"))
-        labels = stored(labels.join(merged, "label", "left").select("key", F.coalesce("root", "label").alias("label")), f"{folder}/labels{at}")
-    out = rows.select("doc_id", "key").join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
+    links = stored(verified(_first_pairs(members, folder), texts), f"{folder}/links")
+    labels = _joined(labels, links, f"{folder}/labels1")
+    labels = _joined(labels, _rest(members, labels, texts, folder), f"{folder}/labels2")
+    out = rows.select("doc_id", "key").join(small(labels), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
     return stored(out, f"{folder}/classes"), folder
 
 
