@@ -21,7 +21,7 @@ QUESTIONS = {
     "CQ01": """SELECT DISTINCT r.cluster_id, x.role, r.work_id FROM reviews r JOIN (
         SELECT citing AS work_id, 'hub' AS role FROM citations GROUP BY citing HAVING count(*) >= 5 UNION ALL
         SELECT cited, 'foundational' FROM citations GROUP BY cited HAVING count(*) >= 5) x ON x.work_id = r.work_id WHERE r.review_id = :review AND r.decision = 'include'""",
-    "CQ03": """SELECT DISTINCT c.method, c.work_id, o.dataset, o.metric FROM contributions c LEFT JOIN
+    "CQ03": """SELECT DISTINCT c.method, c.work_id, CAST(o.dataset AS STRING) AS dataset, o.metric FROM contributions c LEFT JOIN
         (SELECT work_id, method, dataset, metric FROM contributions WHERE metric = 'R') o ON o.work_id = c.work_id AND o.method = c.method WHERE c.problem = :problem""",
     "CQ04": """SELECT dataset, metric, method, work_id, value FROM (SELECT c.dataset, c.metric, c.method, c.work_id, c.value,
         rank() OVER (PARTITION BY c.dataset, c.metric ORDER BY CASE WHEN c.metric = 'N' THEN c.value ELSE -c.value END) AS place
@@ -36,8 +36,8 @@ QUESTIONS = {
     "CQ08": """SELECT a.method AS a, b.method AS b FROM (SELECT DISTINCT method FROM contributions) a JOIN (SELECT DISTINCT method FROM contributions) b ON a.method < b.method
         WHERE NOT EXISTS (SELECT 1 FROM (SELECT work_id, method, dataset FROM contributions WHERE metric = 'R') x JOIN (SELECT work_id, method, dataset FROM contributions WHERE metric = 'R') y
             ON x.dataset = y.dataset AND x.work_id = y.work_id WHERE x.method = a.method AND y.method = b.method)""",
-    "CQ09": """SELECT c.cluster_id, round(avg(CASE WHEN w.year >= 2000 THEN 1.0 ELSE 0.0 END), 6) AS growth, min(w.id) AS first_seen FROM clusters c JOIN works w ON w.id = c.work_id GROUP BY c.cluster_id""",
-    "CQ10": """SELECT s.share, v.venue FROM (SELECT round(avg(CASE WHEN work_type = 'O' THEN 1.0 ELSE 0.0 END), 6) AS share FROM works WHERE year >= 2000) s
+    "CQ09": """SELECT c.cluster_id, round(avg(CASE WHEN w.year >= 2000 THEN 1e0 ELSE 0e0 END), 6) AS growth, min(w.id) AS first_seen FROM clusters c JOIN works w ON w.id = c.work_id GROUP BY c.cluster_id""",
+    "CQ10": """SELECT s.share, v.venue FROM (SELECT round(avg(CASE WHEN work_type = 'O' THEN 1e0 ELSE 0e0 END), 6) AS share FROM works WHERE year >= 2000) s
         LEFT JOIN (SELECT DISTINCT venue FROM works WHERE year >= 2000 AND work_type = 'O') v ON true""",
     "CQ11": """SELECT x.cluster_id AS a, y.cluster_id AS b FROM (SELECT cluster_id, avg(cited_by_count) AS m FROM clusters JOIN works ON id = work_id GROUP BY cluster_id) x
         JOIN (SELECT cluster_id, avg(cited_by_count) AS m FROM clusters JOIN works ON id = work_id GROUP BY cluster_id) y ON x.cluster_id < y.cluster_id

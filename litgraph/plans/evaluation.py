@@ -93,12 +93,12 @@ def e04(spark, sf):
 _SCORES = "SELECT n_regionkey AS fold, o_orderpriority AS choice, avg(o_totalprice) AS score FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2"
 
 
-@register("E05", f"""SELECT fold, choice, round(score, 2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY m DESC, choice) AS place FROM (SELECT s.fold, s.choice, s.score, round((t - s.score) / (n - 1), 9) AS m FROM ({_SCORES}) s
+@register("E05", f"""SELECT fold, choice, round(score, 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY m DESC, choice) AS place FROM (SELECT s.fold, s.choice, s.score, round((t - s.score) / (n - 1), 9) AS m FROM ({_SCORES}) s
     JOIN (SELECT choice, sum(score) AS t, count(*) AS n FROM ({_SCORES}) q GROUP BY choice) z USING (choice)) u) w WHERE place = 1""")
 def e05(spark, sf):
     o, c, n = views(spark, sf, "orders", "customer", "nation")
     s = o.join(c, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_regionkey").alias("fold"), F.col("o_orderpriority").alias("choice")).agg(F.avg("o_totalprice").alias("score"))
-    return op.leave_one_out(s).withColumn("score", F.round("score", 2))
+    return op.leave_one_out(s).withColumn("score", F.round("score", 0))
 
 
 @register("E06", "SELECT citing, cited FROM citations JOIN works a ON a.id = citing JOIN works b ON b.id = cited WHERE a.year <= 1999 AND b.year <= 1999")
