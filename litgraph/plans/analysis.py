@@ -90,7 +90,8 @@ def a09(spark, sf):
 @register("A10")
 def a10(spark, sf):
     citations, inc = views(spark, sf, "citations", "inclusions")
-    return sequential.betweenness(spark, citations, sources=inc.where("project_id = 'ASIA' AND score < 0.05").select(F.col("work_id").alias("id")))
+    own = sequential.by_project(citations.select(F.col("citing").alias("a"), F.col("cited").alias("b")), inc)
+    return sequential.betweenness(spark, own.select(F.col("a").alias("citing"), F.col("b").alias("cited")))
 
 
 DEGREES = """SELECT id, year, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM works LEFT JOIN (SELECT cited, count(*) AS i FROM citations GROUP BY cited) a ON cited = id

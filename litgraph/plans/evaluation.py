@@ -9,7 +9,7 @@ from ..bindings import view, views
 from ..operators import evaluation as op
 from ..registry import register
 
-KEYS = """SELECT o_orderkey AS record, 'c' || o_custkey || o_orderpriority AS key FROM orders UNION ALL SELECT o_orderkey, 'd' || CAST(o_orderdate AS DATE) || (o_custkey % 40) FROM orders"""
+KEYS = """SELECT o_orderkey AS record, 'c' || o_custkey || o_orderpriority AS key FROM orders UNION ALL SELECT o_orderkey, 'd' || o_custkey || '-' || year(o_orderdate) FROM orders"""
 GROUPS = """WITH RECURSIVE k AS (SELECT DISTINCT record, key FROM (""" + KEYS + """) t), e AS (SELECT DISTINCT x.record AS a, y.record AS b FROM k x JOIN k y USING (key)),
     r AS (SELECT DISTINCT record AS a, record AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS record, min(b) AS "group" FROM r GROUP BY a"""
 
@@ -17,7 +17,7 @@ GROUPS = """WITH RECURSIVE k AS (SELECT DISTINCT record, key FROM (""" + KEYS +
 def _keys(spark, sf):
     o = view(spark, sf, "orders")
     one = o.select(F.col("o_orderkey").alias("record"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), "o_orderpriority").alias("key"))
-    return one.union(o.select("o_orderkey", F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string"), (F.col("o_custkey") % 40).cast("string"))))
+    return one.union(o.select("o_orderkey", F.concat(F.lit("d"), F.col("o_custkey").cast("string"), F.lit("-"), F.year("o_orderdate").cast("string"))))
 
 
 @register("E01_H01", GROUPS)
