@@ -3,8 +3,8 @@
 A line is normalised (lower case, runs of white space to one space) and hashed. For each host (``source``) the documents
 that hold a line are counted; lines in more than ``MOST_DOCUMENTS`` of them are boilerplate and are removed, and a document
 that they leave with fewer than ``DEPLETED`` words, after losing half or more, is rejected as depleted. A document is
-counted once however often it is copied: it stands for itself by the least hash of its other lines, which copies and most
-near copies share, so that a group of copies is not boilerplate to itself.
+counted once however often it is copied: it stands for itself by the hash of its normalised lines, in order, so that a group
+of copies is not boilerplate to itself. Texts that differ in any line are different documents.
 
 Counting aggregates (host, line, document) with map-side partial counts. Only lines above the limit meet the documents
 again, by a join on (host, line) and one on the document's key; texts are never shuffled.
@@ -98,11 +98,10 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def line_counts(rows: DataFrame) -> DataFrame:
-    """source, h, n: documents of the host that hold the line."""
-    hashes = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))
-    each = rows.select("source", hashes.alias("hs")).select("source", F.col("hs")[0].alias("least"), F.get("hs", F.lit(1)).alias("next"), F.explode("hs").alias("h"))
-    document = F.when(F.col("h") != F.col("least"), F.col("least")).otherwise(F.coalesce("next", F.lit(0)))
-    return each.select("source", "h", document.alias("d")).distinct().groupBy("source", "h").agg(F.count("*").alias("n"))
+    """source, h, n: distinct documents of the host that hold the line."""
+    hashes = F.transform("lines", lambda x: x["h"])
+    each = rows.select("source", F.xxhash64(hashes).alias("d"), F.explode(F.array_distinct(hashes)).alias("h"))
+    return each.distinct().groupBy("source", "h").agg(F.count("*").alias("n"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, most_documents: int = MOST_DOCUMENTS, least_words: int = LEAST_WORDS) -> DataFrame:

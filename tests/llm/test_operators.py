@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import pytest
@@ -124,6 +125,25 @@ def test_line_rules(spark):
     assert all(r["kept"] and r["removed_words"] == 0 for r in line_rules.verdicts(spark, copies).collect())
 
 
+def test_lines_shared_by_distinct_documents(spark):
+    """Documents made of shared lines alone, copies and a second host, against a brute-force count."""
+    lines = [f"Shared line number {i} has ten words in it, as all." for i in range(15)]
+    texts = [("h", "\n".join(c)) for c in itertools.combinations(lines, 3)]
+    texts += [("h", texts[0][1].upper().replace(" ", "  "))] * 30 + [("g", lines[0] + "\n" + lines[i]) for i in (1, 2)] * 15
+    texts += [(None, f"{lines[0]}\n{lines[1]}\nOwn line {i} of a document that has ten words here.") for i in range(25)]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_rules.verdicts(spark, docs).collect()}
+    holders = {}
+    for s, t in texts:
+        normal = [" ".join(x.lower().split()) for x in t.split("\n")]
+        for x in normal:
+            holders.setdefault((s, x), set()).add(tuple(normal))
+    for i, (s, t) in enumerate(texts):
+        gone = sum(len(x.split()) for x in t.split("\n") if len(holders[s, " ".join(x.lower().split())]) > line_rules.MOST_DOCUMENTS)
+        assert got[i]["removed_words"] == gone
+    assert got[0]["removed_words"] > 0 and not got[0]["kept"] and got[len(texts) - 1]["removed_words"] > 0
+
+
 def test_licenses(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License."), (2, "cc by cc by"), (3, "GNU\nGeneral Public License")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in license_scan.licenses(spark, docs).collect()}
