@@ -2,7 +2,7 @@
 
 A line is normalised (lower case, runs of white space to one space) and hashed. For each host (``source``) the documents
 that hold a line are counted; lines in more than ``MOST_DOCUMENTS`` of them are boilerplate and are removed, and a document
-that they leave with fewer than ``DEPLETED`` words, after losing half or more, is rejected as depleted. A document is
+that they leave with fewer words than the base rule demands of any document is rejected as depleted. A document is
 counted once however often it is copied: it stands for itself by the hash of its normalised lines, in order, so that a group
 of copies is not boilerplate to itself. Texts that differ in any line are different documents.
 
@@ -22,8 +22,6 @@ from .common import shared_dir, stored
 
 #: Documents of a host that may hold a line; fewest words; share of repeated words (percent) that fails.
 MOST_DOCUMENTS, LEAST_WORDS, MOST_REPEATED = 20, 10, 20
-#: Words that must remain of a document that loses half of its words or more.
-DEPLETED = 3
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -120,7 +118,7 @@ def rules(spark: SparkSession, docs: DataFrame, most_documents: int = MOST_DOCUM
     removed = F.aggregate(F.filter("lines", lambda x: F.array_contains("removed_lines", x["h"])), F.lit(0), lambda a, x: a + x["n"])
     both = both.withColumn("removed_words", F.when(F.col("removed_lines").isNull(), F.lit(0)).otherwise(removed).cast("long"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    depleted = (F.col("n_words") - F.col("removed_words") < DEPLETED) & (2 * F.col("removed_words") >= F.col("n_words"))
+    depleted = F.col("n_words") - F.col("removed_words") < least_words
     return both.withColumns({"base_failed": failed, "kept": ~failed & ~depleted}).drop("lines")
 
 

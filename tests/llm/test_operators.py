@@ -125,6 +125,16 @@ def test_line_rules(spark):
     assert all(r["kept"] and r["removed_words"] == 0 for r in line_rules.verdicts(spark, copies).collect())
 
 
+def test_depleted_documents(spark):
+    """What is left after removal must have as many words as the base rule demands, however much was lost."""
+    shared = "One notice stands here."
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    texts = [f"{shared}\n{own(i, n)}" for i, n in enumerate([6, 9, 10, 40] * 8)]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for i, r in enumerate(sorted(line_rules.verdicts(spark, docs).collect(), key=lambda r: r["doc_id"])):
+        assert not r["base_failed"] and r["removed_words"] == 4 and r["kept"] == (i % 4 > 1)
+
+
 def test_lines_shared_by_distinct_documents(spark):
     """Documents made of shared lines alone, copies and a second host, against a brute-force count."""
     lines = [f"Shared line number {i} has ten words in it, as all." for i in range(15)]
