@@ -1,16 +1,18 @@
 """Main text of web pages by site style trees.
 
 Every page is parsed once into blocks of text, each with its style node: the path of block elements, with their classes,
-that leads to it. The DOMs of one host merge into a style tree: for each node the pages that show it, the texts that
-stand there, and the orders of children that occur. A node's importance joins the diversity of what it contains (a text
+that leads to it, and its role. The DOMs of one host merge into a style tree: for each node the pages that show it, the texts
+that stand there, and the orders of children that occur. A node's importance joins the diversity of what it contains (a text
 on one page only counts 1, on all pages 0: the entropy of its spread over the pages, to the base of their number) with
-the diversity of its parent's presentation. Branches below ``THRESHOLD`` go.
+the diversity of its parent's presentation. Every page is pruned by it: nodes below ``THRESHOLD`` go, and within the others
+each text that is itself spread so widely that it falls below. Pages of a host with the same blocks count as one.
 
-Roles that HTML states are priors of the tree: navigation, forms, scripts, advertisements, comments and the like, by element,
-role or class, have importance 0; what stands in an article (or main element) has importance 1, and so has the page's
-only content where its host shows fewer than ``LEAST_PAGES`` pages. Counts per (host, node, text) are aggregated with
-map-side partial counts, so that neither a large host nor a common text gathers in one task. Only pages with undecided
-blocks meet their host's list of unimportant nodes.
+Roles that HTML states are priors that shift the importance by ``SHIFT``: down for navigation, forms, advertisements, comments
+and the like, by element, role or class, and up in an article (or main element). Where class words say both, neither
+counts. A node on fewer than ``LEAST_PAGES`` pages has the importance of single texts, shifted. What browsers do not show is
+no text of the page. Counts per (host, node, text) are aggregated with map-side partial counts, so that neither a large
+host nor a common text gathers in one task. Pages meet their host's list of exceptions: nodes and texts on which the tree
+decides against the role alone; it is broadcast if it is small.
 
 Null and empty html: empty text. Null url: a host of its own. Repeated rows get a row each. Broken markup is read as
 browsers do: unclosed elements end with their parents, an unfinished tag at the end is dropped. An empty table gives no rows.
@@ -28,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, stored
+from .common import MOST_BROADCAST, shared_dir, slices, stored
 
 THRESHOLD, LEAST_PAGES, CONTENT = 0.4, 3, 0.9
+#: What the roles -1 and 1 add to a node's importance.
+SHIFT = {-1: -0.58, 1: 0.25}
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -46,6 +50,8 @@ DROPPED = frozenset(
     "head title script style noscript template iframe svg math canvas object audio video nav footer aside form menu dialog "
     "button select option textarea label datalist fieldset".split()
 )
+#: Those of them that are not shown as text.
+UNSEEN = frozenset("head title script style noscript template iframe svg math canvas object audio video select option datalist".split())
 #: Class, id and role words of what is not the article.
 OTHER = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation "
@@ -62,7 +68,9 @@ WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 
 def role(tag: str, attributes: str, in_main: bool) -> tuple[int, str]:
-    """-1 not the article, 1 the article, 0 undecided; and the classes."""
+    """-2 not shown, -1 not the article, 1 the article, 0 undecided; and the classes."""
+    if tag in UNSEEN:
+        return -2, ""
     if tag in DROPPED or tag == "header" and not in_main:
         return -1, ""
     if not attributes or tag in ("html", "body"):
@@ -70,12 +78,14 @@ def role(tag: str, attributes: str, in_main: bool) -> tuple[int, str]:
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     css = " ".join(sorted(found.get("class", "").lower().split()))
     if "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("aria-hidden") == "true":
+        return -2, css
+    named = [{w.lower() for w in WORDS.findall(x)} for k in ("class", "id", "role") for x in found.get(k, "").split()]
+    main = tag in ("article", "main") or any(w & MAIN and not w & OTHER for w in named)
+    if any(w & OTHER for w in named):
+        return (0 if main else -1), css
+    if any("header" in w and not w & MAIN for w in named) and not (in_main or main):
         return -1, css
-    named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    words = {w.lower() for w in WORDS.findall(named)} if named.strip() else set()
-    if words & OTHER or "header" in words and not (in_main or words & MAIN):
-        return -1, css
-    return (1 if tag in ("article", "main") or words & MAIN else 0), css
+    return (1 if main or any(w & MAIN for w in named) else 0), css
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, str]]:
@@ -141,7 +151,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, str]]:
             own, css = role(tag, m[3], in_main)
             name = f"{tag}.{css}" if css else tag
             children.setdefault(path, []).append(name)
-            stack.append((tag, -1 if above < 0 or own < 0 else max(above, own), f"{path}/{name}", in_main or own > 0))
+            stack.append((tag, min(above, own) if above < 0 or own < 0 else max(above, own), f"{path}/{name}", in_main or own > 0))
     flush()
     return blocks, {k: ">".join(x for i, x in enumerate(v) if not i or v[i - 1] != x) for k, v in children.items()}
 
@@ -157,60 +167,70 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-_BLOCKS = "array<struct<node:string,text:string>>"
-_FEATURES = "array<struct<node:string,parent:string,kind:int,h:bigint>>"
+_BLOCKS = "array<struct<node:bigint,role:int,h:bigint,text:string>>"
+_FEATURES = "array<struct<node:bigint,parent:bigint,kind:int,h:bigint>>"
+#: The kind of a feature that is an order of children; that of a text is its role.
+ORDER = 2
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks (text sure to stay, or undecided with their node), undecided, features of the tree."""
-    feature = pa.struct([("node", pa.string()), ("parent", pa.string()), ("kind", pa.int32()), ("h", pa.int64())])
-    block = pa.struct([("node", pa.string()), ("text", pa.string())])
+    """page_id, url, host, mark (of the blocks), blocks with their node and role, features of the tree."""
+    feature = pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()), ("h", pa.int64())])
+    block = pa.struct([("node", pa.int64()), ("role", pa.int32()), ("h", pa.int64()), ("text", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html", 1 << 22):
                 urls = part.column("url").to_pylist()
-                out = {"host": [], "blocks": [], "undecided": [], "features": []}
+                out = {"host": [], "mark": [], "blocks": [], "features": []}
                 for url, page in zip(urls, part.column("html").to_pylist(), strict=True):
                     blocks, children = parse(page or "")
-                    main = any(r > 0 for _, r, _ in blocks)
-                    mine = [(node if r == 0 else None, text) for node, r, text in blocks if r > 0 or r == 0 and not main]
+                    mine = [(_hash(f"{r}{node}"), _hash(node.rpartition("/")[0]), r, _hash(text), text) for node, r, text in blocks if r > -2]
+                    tree = {(node, parent, r, h) for node, parent, r, h, _ in mine} | {(_hash(node), 0, ORDER, _hash(order)) for node, order in children.items()}
                     out["host"].append(host_of(url))
-                    out["blocks"].append([{"node": node, "text": t} for node, t in mine])
-                    out["undecided"].append(any(node is not None for node, _ in mine))
-                    tree = {(node, 0, _hash(text)) for node, _, text in blocks} | {(node, 1, _hash(order)) for node, order in children.items()}
-                    out["features"].append([{"node": node, "parent": node.rpartition("/")[0], "kind": k, "h": h} for node, k, h in tree])
+                    out["mark"].append(_hash(" ".join(f"{node} {h}" for node, _, _, h, _ in mine)))
+                    out["blocks"].append([{"node": node, "role": r, "h": h, "text": t} for node, _, r, h, t in mine])
+                    out["features"].append([{"node": node, "parent": parent, "kind": k, "h": h} for node, parent, k, h in tree])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(out["host"]), pa.array(out["blocks"], pa.list_(block)), pa.array(out["undecided"]), pa.array(out["features"], pa.list_(feature))],
-                    names=["page_id", "url", "host", "blocks", "undecided", "features"],
+                    [part.column("page_id"), part.column("url"), pa.array(out["host"]), pa.array(out["mark"], pa.int64()), pa.array(out["blocks"], pa.list_(block)), pa.array(out["features"], pa.list_(feature))],
+                    names=["page_id", "url", "host", "mark", "blocks", "features"],
                 )
 
-    schema = f"page_id long, url string, host string, blocks {_BLOCKS}, undecided boolean, features {_FEATURES}"
+    schema = f"page_id long, url string, host string, mark long, blocks {_BLOCKS}, features {_FEATURES}"
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(task, schema)
 
 
-def importance(rows: DataFrame) -> DataFrame:
-    """host, node, pages, importance of every style node that holds text."""
-    each = rows.select("host", F.explode("features").alias("f")).select("host", "f.node", "f.parent", "f.kind", "f.h")
+def exceptions(rows: DataFrame, threshold: float) -> DataFrame:
+    """host, key: the nodes of a role of -1 that stay, other nodes that go, and texts that go from nodes that stay."""
+    distinct = rows.dropDuplicates(["host", "mark"])
+    each = distinct.select("host", F.explode("features").alias("f")).select("host", "f.node", "f.parent", "f.kind", "f.h")
     spread = each.groupBy("host", "node", "parent", "kind", "h").agg(F.count("*").alias("n"))
-    pages = rows.select("host", F.explode(F.array_distinct(F.transform("features", lambda f: f["node"]))).alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages"))
-    with_pages = spread.join(pages, ["host", "node"])
+    pages = distinct.select("host", F.explode(F.array_distinct(F.transform("features", lambda f: f["node"]))).alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages"))
     base = F.log(F.greatest(F.col("pages"), F.lit(2)))
-    content = with_pages.where("kind = 0").groupBy("host", "node", "parent", "pages").agg((1 - F.avg(F.log("n") / base)).alias("content"))
+    known = F.col("pages") >= LEAST_PAGES
+    with_pages = spread.join(pages, ["host", "node"]).withColumn("own", F.when(known, 1 - F.log("n") / base).otherwise(1.0))
+    shift = F.when(F.col("kind") < 0, SHIFT[-1]).when(F.col("kind") > 0, SHIFT[1]).otherwise(0.0)
     share = F.col("n") / F.col("pages")
-    shown = with_pages.where("kind = 1").groupBy("host", F.col("node").alias("parent")).agg(F.sum(-share * F.log(share) / base).alias("shown"))
-    both = content.join(shown, ["host", "parent"], "left")
-    return both.select("host", "node", "pages", (CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("shown", F.lit(0.0))).alias("importance"))
+    shown = with_pages.where(F.col("kind") == ORDER).groupBy("host", F.col("node").alias("parent")).agg(F.sum(-share * F.log(share) / base).alias("shown"))
+    texts = with_pages.where(F.col("kind") < ORDER)
+    nodes = texts.groupBy("host", "node", "parent", "kind", "pages").agg(F.avg("own").alias("content")).join(shown, ["host", "parent"], "left")
+    prior = F.when(known, (1 - CONTENT) * F.coalesce("shown", F.lit(0.0))).otherwise(0.0) + shift
+    nodes = nodes.select("host", "node", "kind", prior.alias("prior"), (CONTENT * F.col("content") + prior >= threshold).alias("stays"))
+    against = nodes.where(F.col("stays") == (F.col("kind") < 0)).select("host", F.col("node").alias("key"))
+    wide = texts.where(known & (F.col("n") > 1) & (CONTENT * F.col("own") + shift < threshold)).select("host", "node", "h", "own")
+    gone = wide.join(nodes.where("stays").select("host", "node", "prior"), ["host", "node"]).where(CONTENT * F.col("own") + F.col("prior") < threshold)
+    return against.union(gone.select("host", F.xxhash64("node", "h").alias("key")))
 
 
 def extract(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text, n_chars."""
-    rows = stored(parsed(pages), f"{shared_dir(spark)}/parsed")
-    poor = importance(rows.select("host", "features")).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < threshold))
-    poor = poor.groupBy("host").agg(F.collect_set("node").alias("poor"))
-    sure = rows.where(~F.col("undecided")).select("page_id", "url", "blocks")
-    rest = rows.where("undecided").select("page_id", "url", "host", "blocks").join(poor, "host", "left")
-    keep = lambda b: b["node"].isNull() | F.col("poor").isNull() | ~F.array_contains("poor", b["node"])
-    rest = rest.select("page_id", "url", F.filter("blocks", keep).alias("blocks"))
+    folder = shared_dir(spark)
+    rows = stored(parsed(pages), f"{folder}/parsed")
+    keys = stored(exceptions(rows.select("host", "mark", "features"), threshold), f"{folder}/keys")
+    lists = keys.groupBy("host").agg(F.collect_set("key").alias("keys"))
+    lists = F.broadcast(lists) if keys.count() <= MOST_BROADCAST else lists
+    listed = lambda key: F.coalesce(F.array_contains("keys", key), F.lit(False))
+    keep = lambda b: ((b["role"] < 0) == listed(b["node"])) & ~listed(F.xxhash64(b["node"], b["h"]))
+    kept = rows.select("page_id", "url", "host", "blocks").join(lists, "host", "left").select("page_id", "url", F.filter("blocks", keep).alias("blocks"))
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
-    return sure.union(rest).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

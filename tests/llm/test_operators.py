@@ -183,3 +183,16 @@ def test_pages(spark):
     got = {r["page_id"]: r["text"] for r in site_tree.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {**{i: f"Text of page {i}" for i in range(5)}, 5: "", 6: "", 7: "alone"}
     assert site_tree.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_pages_where_the_tree_decides(spark):
+    """Content outside the article, boilerplate inside it, a container with words of both kinds, and copies of a page."""
+    def page(i):
+        share = "<p>Share this page</p><div>Read more</div>"
+        return f"<body><nav>Menu</nav><div class='lead'>Lead of {i}</div><article><p>Text of {i}</p>{share}</article><section>Mail us</section><div class='ad'>Buy {i}</div></body>"
+
+    pages = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(100 + i, f"http://h.example/c{i}", page(0)) for i in range(30)]
+    pages += [(200 + i, f"http://g.example/{i}", f"<body><div class='content with-sidebar'><p>Own words {i}</p></div></body>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: f"Lead of {i}\n\nText of {i}" for i in range(12)} | {100 + i: "Lead of 0\n\nText of 0" for i in range(30)}
+    assert got == want | {200 + i: f"Own words {i}" for i in range(4)}
