@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,25 +22,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made for intermediate tables, in order.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder, which driver and executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only a session without one (tests) gets a
-    temporary folder.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only a local session without one (tests) gets a temporary
+    folder; on a cluster, where executors would not see it, a missing setting is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.gettempdir() + "/litgraph-checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
 
+def made() -> int:
+    """How many folders shared_dir has given out."""
+    return len(_MADE)
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared checkpoint folder and read back."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the folders given out from one count of made() to another; whatever reads them must be done."""
+    for folder in _MADE[since:until]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE[since:until] = []
 
 
 def stored(df: DataFrame, folder: str) -> DataFrame:
@@ -98,19 +113,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 # --- hashing of words and word shingles, all vectorised ---------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p)
-    return _POWERS["up"], _POWERS["down"]
+#: Keep the first 0 to 8 bytes of a little-endian number.
+_HEAD = np.asarray([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,6 +128,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hashes(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (none is empty): the mixed sum of its mixed eight-byte pieces and their places.
+
+    No polynomial: periodic bytes, such as Thue-Morse words, do not cancel out.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    size = end - at
+    total = mix((eight[at] & _HEAD[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    longer = np.flatnonzero(size > 8)
+    if len(longer):
+        more = (size[longer] - 1) >> 3
+        own = np.repeat(longer, more)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(more) - more, more) + 1
+        piece = at[own] + 8 * k
+        value = mix(mix((eight[piece] & _HEAD[np.minimum(end[own] - piece, 8)]) + np.uint64(0x632BE59BD9B4E019)) + k.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        np.add.at(total, own, value)
+    return mix(total)
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -142,10 +166,7 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(at):
         return np.zeros(0, np.uint64), at, at
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    h = mix((total[end] - total[at]) * down[at] + (end - at).astype(np.uint64))
+    h = span_hashes(_LOWER[data], at, end)
     return h, at, np.searchsorted(starts, at, side="right") - 1
 
 
@@ -176,3 +197,14 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.nd
         order = np.argsort(d, kind="stable")
         s, d, at = s[order], d[order], at[order]
     return s, d, at
+
+
+def unused(schema, *names: str) -> list[str]:
+    """The names, each made longer until no column of the schema has it, in either case."""
+    taken, out = {c.lower() for c in schema.names}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -3,10 +3,13 @@
 Both public tokenizers split a text before their merges and never join what stands on two sides of such a split.
 A text can therefore be encoded run by run, and a run that was met before needs no merges again: the ids of a text
 are the ids of its runs one after another. Runs are cut and hashed over the bytes of many texts at once; a memo of
-bounded size in each worker holds the ids of the runs met so far.
+bounded size in each worker holds the bytes and ids of the runs met so far. A run takes the ids of the memo only if its bytes are
+those that the memo holds, so that no two runs that share a hash are ever mistaken; a text with a run that lost its
+place to another is encoded as one.
 
 A run is a word of ASCII and Latin-1 letters with the one space before it, or what follows such letters up to white
-space, or white space. Words with other characters stay whole. A text with white space beyond ASCII is encoded as one.
+space, or white space. Words with other characters stay whole. A text with white space beyond ASCII is encoded as one, and
+so is every text if the tokenizer's own normalizer and splits are not those of which this is known to hold.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .common import _powers, mix, text_bytes
+from .common import span_hashes, text_bytes
 
 #: Runs that the memo holds before it starts anew, and slots of its table.
 MEMO, SLOTS = 1_000_000, 1 << 21
@@ -86,16 +89,34 @@ def run_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+#: Normalizers and splits that never join across the runs.
+KNOWN = (
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+)
+
+
 class Encoder:
     """encode(texts) gives all ids, and where each text's ids start."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO, hashes=span_hashes):
         from tokenizers import Tokenizer
 
+        self.hashes = hashes
+
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         spec = json.loads(open(path, encoding="utf-8").read())
-        self.known = path.rsplit("/", 1)[-1] in ("byte_bpe_50k.json", "word_bpe_49k.json")
+        self.known = (spec["normalizer"], spec["pre_tokenizer"]) in KNOWN
         self.lower = spec["normalizer"] is not None
         self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
         self.mark = _CHARS[10]  # a line end, as a word of its own: no run of letters holds its id
@@ -107,6 +128,8 @@ class Encoder:
         self.key, self.code = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 20, np.int32), 0
         self.start, self.n = np.zeros(1 << 18, np.int64), 0
+        self.bytes, self.n_bytes = np.zeros(1 << 22, np.uint8), 0
+        self.byte_start = np.zeros(1 << 18, np.int64)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -134,6 +157,18 @@ class Encoder:
             lost = self.key[slot] != h[left]
             left, slot = left[lost], (slot[lost] + 1) & (SLOTS - 1)
 
+    def _same(self, data: np.ndarray, at: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether each span of data has the bytes of the run that its code stands for."""
+        size, first = end - at, self.byte_start[code]
+        ok = self.byte_start[code + 1] - first == size
+        if not ok.all():
+            at, size, first = at[ok], size[ok], first[ok]
+        stop = np.cumsum(size)
+        step = np.arange(stop[-1] if len(stop) else 0)
+        other = self.bytes[step + np.repeat(first - (stop - size), size)] != data[step + np.repeat(at - (stop - size), size)]
+        ok[np.flatnonzero(ok)[np.searchsorted(stop, np.flatnonzero(other), side="right")]] = False
+        return ok
+
     def _learn(self, h: np.ndarray, runs: list[bytes]) -> None:
         texts = [r.decode() for r in runs]
         simple = [bool(_LETTERS.fullmatch(t)) for t in texts]
@@ -156,6 +191,13 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(runs) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.byte_start = np.concatenate([self.byte_start, np.zeros_like(self.byte_start)])
+        joined = np.frombuffer(b"".join(runs), np.uint8)
+        while self.n_bytes + len(joined) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.n_bytes : self.n_bytes + len(joined)] = joined
+        self.byte_start[self.n + 1 : self.n + len(runs) + 1] = self.n_bytes + np.cumsum([len(r) for r in runs])
+        self.n_bytes += len(joined)
         if total:
             self.ids[self.n_ids : self.n_ids + total] = np.concatenate([np.asarray(x, np.int32) for x in lists])
         self.start[self.n : self.n + len(runs)] = self.n_ids + np.cumsum(sizes) - sizes
@@ -186,10 +228,7 @@ class Encoder:
         doc = np.searchsorted(starts, at, side="right") - 1
         keep = ~whole[doc]
         at, end, doc = at[keep], end[keep], doc[keep]
-        up, down = _powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        h = mix((total[end] - total[at]) * down[at] + (end - at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        h = self.hashes(data, at, end)
         code = self._find(h)
         if len(miss := np.flatnonzero(code < 0)):
             new, first = np.unique(h[miss], return_index=True)
@@ -202,9 +241,10 @@ class Encoder:
             code[miss] = self._find(h[miss])
             if (code < 0).any():  # a text with more runs than the memo takes
                 self._new()
-                got = self.plain(texts.to_pylist())
+                got = self.plain([t or "" for t in texts.to_pylist()])
                 ends = np.cumsum([0, *map(len, got)])
                 return np.concatenate([np.asarray(g, np.int32) for g in got]), ends
+        whole[doc[~self._same(data, at, end, code)]] = True
         first = self.start[code]
         size = self.start[code + 1] - first
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -212,7 +252,7 @@ class Encoder:
         bounds = ends[np.searchsorted(doc, np.arange(n + 1))]
         if whole.any():
             some = np.flatnonzero(whole)
-            got = dict(zip(some.tolist(), self.plain([texts[int(i)].as_py() for i in some]), strict=True))
+            got = dict(zip(some.tolist(), self.plain([texts[int(i)].as_py() or "" for i in some]), strict=True))
             parts = [np.asarray(got[i], np.int32) if i in got else ids[bounds[i] : bounds[i + 1]] for i in range(n)]
             return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         return ids, bounds
