@@ -3,8 +3,8 @@
 One range shuffle sorts the texts; each task encodes its range and writes one file (to a name of its own, then
 renamed, so that a task that runs again does no harm). A manifest of one row a file gives every file its first id.
 
-Null text: empty, so the end id alone. Null doc_id: first. Rows that share a doc_id stand in the order of their texts.
-An empty table gives no documents. Other columns are ignored.
+Null text: empty, so the end id alone. Null doc_id: first. Rows that share a doc_id stand in the order of a hash of their texts,
+and are dealt over several files if there are many. An empty table gives no documents. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(out.docs)], "n_ids": [out.starts[-1]]}, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     text = F.col("text")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "mark", "row").sortWithinPartitions("doc_id", "mark", "row").select("doc_id", "text")
     manifest = stored(ordered.mapInArrow(task, "shard int, n_docs long, n_ids long"), f"{folder}-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
