@@ -9,10 +9,11 @@ band of registers are candidates; the similarity of a candidate pair is then com
 
 At ``BANDS`` bands of ``ROWS`` registers, a pair of similarity 0.8 is a candidate with probability 0.9996, of 0.9 with
 more than 1 - 1e-7. No bucket is ever expanded into all its pairs. First every member meets its bucket's pivot, which joins
-most members of a group; buckets whose members are all in one class are done. Texts whose classes still meet in a bucket
-are then compared in blocks of bounded size, all with all: two matrix products bound the similarity of all pairs of two
-blocks, and pairs of different classes that the bound lets through are verified. So no link between classes is lost, and no
-pair becomes a row unless it is a link.
+most members of a group; buckets whose members are all in one class are done. In every other bucket the members are
+compared in blocks of bounded size, all with all: two matrix products bound the similarity of all pairs of two
+blocks, and pairs of different classes that the bound lets through are verified. Buckets with the same members are compared
+once, and where buckets overlap so much that it is less work, the union of their members is. So no link between classes is
+lost, and no pair becomes a row unless it is a link.
 
 Words are runs of ASCII letters (case ignored), digits and other characters beyond ASCII. Texts of fewer than five words
 have one shingle of all; texts without words (and null, which counts as empty) are in a class only with equal texts. Null
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shared_dir, shingles, slices, small, stored, text_bytes, words
+from .common import mix, shared_dir, shingles, slices, small, stored, text_bytes, unused, words
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -238,26 +239,43 @@ def _vectors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(element[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
+def _groups(members: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """members, key, label: the sets of texts to compare, all with all, so that every two that share a mixed bucket meet.
+
+    A mixed bucket holds texts of two classes or more. Buckets that overlap are a neighbourhood; the neighbourhood as a whole
+    is one set where its blocks make fewer pairs than those of its buckets.
+    """
+    labelled = stored(members.join(small(labels), "key"), f"{folder}/labelled")
+    seen = labelled.groupBy("bucket").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("key") % (1 << 32)).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("x")
+    )
+    mixed = stored(seen.where("lo <> hi").groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket"), F.min("lo").alias("lo")).select("bucket", "lo", "n"), f"{folder}/mixed")
+    met = stored(labelled.join(small(mixed.select("bucket", "lo")), "bucket").select("bucket", "key", "label", "lo"), f"{folder}/met")
+    around = stored(components(met.select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("lo"), F.col("label").alias("around")), f"{folder}/around")
+    pairs = lambda n: F.ceil(n / BLOCK) * (F.ceil(n / BLOCK) + 1)
+    by_bucket = mixed.join(small(around), "lo").groupBy("around").agg(F.sum(pairs(F.col("n"))).alias("apart"))
+    texts = met.select("key", "lo").distinct().join(small(around), "lo").groupBy("around").agg(F.count_distinct("key").alias("n"))
+    whole = stored(texts.join(by_bucket, "around").where(pairs(F.col("n")) <= F.col("apart")).select("around"), f"{folder}/whole")
+    placed = stored(met.join(small(around), "lo").join(small(whole.withColumn("together", F.lit(True))), "around", "left"), f"{folder}/placed")
+    one = placed.where("together").select(F.xxhash64(F.lit("around"), "around").alias("members"), "key", "label").distinct()
+    return one.union(placed.where("together IS NULL").select(F.xxhash64(F.lit("bucket"), "bucket").alias("members"), "key", "label"))
+
+
 def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """Links (a, b) between classes that still meet in a bucket.
 
-    Classes that meet, directly or through others, are a neighbourhood; its texts are dealt into blocks of a bounded number
-    and size, and every two blocks are compared in one task: no pair becomes a row before it is verified.
+    The texts of each set are dealt into blocks of a bounded number and size, and every two blocks are compared in one task: no
+    pair becomes a row before it is verified.
     """
-    labelled = stored(members.join(small(labels), "key"), f"{folder}/labelled")
-    mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "lo"), f"{folder}/mixed")
-    met = stored(labelled.join(small(mixed), "bucket").select("key", "label", "lo").distinct(), f"{folder}/met")
-    around = components(met.select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("around"))
-    placed = met.select("key", "label").distinct().join(small(around), "label")
-    placed = texts.join(small(stored(placed, f"{folder}/around")), "key")
-    placed = stored(placed.select("around", "key", "label", "text"), f"{folder}/placed")
-    sizes = placed.groupBy("around").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    groups = stored(_groups(members, labels, folder), f"{folder}/groups")
+    sized = texts.select("key", F.length("text").alias("chars")).join(small(groups), "key")
+    sizes = sized.groupBy("members").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
     sizes = stored(sizes, f"{folder}/sizes0")
-    dealt = placed.join(small(sizes), "around").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    lists = stored(dealt.groupBy("around", "block", "blocks").agg(F.collect_list(F.struct("key", "label", "text")).alias("one")), f"{folder}/lists")
+    dealt = texts.join(small(groups), "key").join(small(sizes), "members").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    lists = stored(dealt.groupBy("members", "block", "blocks").agg(F.collect_list(F.struct("key", "label", "text")).alias("one")), f"{folder}/lists")
     same = lists.select("one", F.lit(None).cast(lists.schema["one"].dataType).alias("other"))
-    left = lists.where("blocks > block + 1").select("around", "one", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
-    cross = left.join(lists.select("around", "block", F.col("one").alias("other")), ["around", "block"]).select("one", "other")
+    left = lists.where("blocks > block + 1").select("members", "one", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
+    cross = left.join(lists.select("members", "block", F.col("one").alias("other")), ["members", "block"]).select("one", "other")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,8 +329,8 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows, folder = classes(spark, docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
     best = stored(rows.groupBy("label").agg(F.min(order).alias("best")).select("best.*"), f"{folder}/best")
-    keyed = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_key": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
-    best = best.select(F.col("none").alias("_none"), F.col("id").alias("_id"), F.col("key").alias("_key"))
-    kept = keyed.join(best, ["_none", "_id", "_key"], "left_semi")
+    names = unused(docs.schema, "no_id", "id_or_0", "text_key")
+    own = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    kept = docs.withColumns(dict(zip(names, own, strict=True))).join(best.toDF(*names), names, "left_semi")
     # rows that repeat both id and text: one of them
-    return kept.dropDuplicates(["_none", "_id", "_key"]).select(*docs.columns)
+    return kept.dropDuplicates(names).select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
