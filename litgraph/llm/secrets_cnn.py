@@ -21,8 +21,8 @@ import numpy as np
 BEFORE, BODY, AFTER = 24, 48, 8
 WIDTH = BEFORE + BODY + AFTER
 KERNEL, EMBED, FILTERS = 5, 8, 24
-RECALL = 0.98
-SEED, FINDINGS, EPOCHS = 20, 6000, 6
+RECALL = 0.99
+SEED, FINDINGS, EPOCHS = 20, 8000, 8
 
 
 def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ class Network:
 
 def findings(rng: np.random.Generator, n: int) -> tuple[list[tuple[bytes, int, int]], np.ndarray]:
     """(text, start, end) of candidates, and their labels."""
-    syllables = "an ber che der en ei er fa ga heit ing is ja keit la lich men na on or pre que ra sch st te tion un ver wo zu ción mente aux eau pf tz".split()
+    syllables = "al an ber che der en ei er fa ga heit ing is ja keit la lich men na on or pre que ra sch st te tion un ver wo zu chaft ff gen hr lung schl ción mente aux eau pf tz".split()
     hexa, alnum, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
     def draw(chars: str, k: int) -> str:
@@ -92,7 +92,7 @@ def findings(rng: np.random.Generator, n: int) -> tuple[list[tuple[bytes, int, i
         secret = rng.random() < 0.5
         if secret:
             kind = rng.integers(7)
-            k = int(rng.integers(20, 65))
+            k = int(rng.integers(16, 65))
             token = (
                 draw(hexa, pick([32, 40, 64, k])) if kind == 0
                 else draw(hexa, pick([32, 40, 64, k])).upper() if kind == 1
@@ -104,11 +104,11 @@ def findings(rng: np.random.Generator, n: int) -> tuple[list[tuple[bytes, int, i
             )
             before = pick(["token = \"", "key: ", "secret=", "password: ", "Authorization: Bearer ", "", "", "id ", " ", "\n"])
         else:
-            kind = rng.integers(11)
+            kind, least = rng.integers(11), int(rng.integers(16, 36))
             token = (
-                word(16) if kind < 3
-                else word(16).upper() if kind == 3
-                else word(16).capitalize() if kind == 4
+                word(least) + pick(["", "", "."]) if kind < 3
+                else word(least).upper() + pick(["", "."]) if kind == 3
+                else word(least).capitalize() if kind == 4
                 else pick("-_.").join(word(4) for _ in range(int(rng.integers(3, 7)))) if kind == 5
                 else draw("0123456789", int(rng.integers(16, 22))) if kind == 6
                 else "/".join(word(3) for _ in range(int(rng.integers(4, 8)))) + pick([".html", "", ".py", "/"]) if kind == 7
@@ -142,7 +142,8 @@ def train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int =
     names = ("embed", "kernel", "bias", "out")
     state = {n: (np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))) for n in names}
     step, places = 0, x.shape[1] - KERNEL + 1
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        rate = 0.006 * (1 - epoch / epochs)
         order = rng.permutation(len(x))
         for i in range(0, len(order), 128):
             b = order[i : i + 128]
@@ -171,7 +172,7 @@ def train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int =
                 m, v = state[n]
                 m += 0.1 * (grads[n] - m)
                 v += 0.001 * (grads[n] ** 2 - v)
-                getattr(net, n)[...] -= 0.004 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                getattr(net, n)[...] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return net
 
 

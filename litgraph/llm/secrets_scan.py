@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a network over every other long token.
 
 Patterns (leftmost, non-overlapping for each kind): assignments to a password, secret, token or key with a value of six
-or more characters; access keys of 20 or more; runs of 24 or more lower-case hexadecimal digits. Every other run of 16 or
-more characters of ``[A-Za-z0-9+/_.=-]`` that meets none of these spans is a candidate: the network of ``secrets_cnn``
-scores it with its surroundings (a long one in successive parts, of which the highest counts), and adds a span of kind
-``cnn`` from the calibrated threshold up. One pass over the texts, nothing is shuffled.
+or more characters; access keys of 20 or more; runs of 24 or more lower-case hexadecimal digits. What these spans leave of
+each run of characters of ``[A-Za-z0-9+/_.=-]``, in parts of ``LEAST`` characters or more, is a candidate: the network of
+``secrets_cnn`` scores it with its surroundings (a long one in successive parts, of which the highest counts), and adds a span
+of kind ``cnn`` from the calibrated threshold up. One pass over the texts, nothing is shuffled.
 
 Null text: empty, without spans. Positions count code points, ends are exclusive. Repeated rows get a row each; null ids
 stay null. An empty table gives no rows.
@@ -45,6 +45,19 @@ def base_spans(text: str, runs: list[tuple[int, int]], assigned: bool) -> list[S
     return sorted(out)
 
 
+def left_of(a: int, b: int, spans: list[Span]) -> list[tuple[int, int]]:
+    """The parts of a to b outside the spans (sorted by start)."""
+    out = []
+    for s, _, e in spans:
+        if s >= b:
+            break
+        if e > a:
+            if s > a:
+                out.append((a, s))
+            a = min(e, b)
+    return [*out, (a, b)] if a < b else out
+
+
 def scan(column: pa.Array, network: Network) -> dict[int, list[Span]]:
     """Row to its spans, of all kinds, for rows that have any."""
     data, starts = text_bytes(column)
@@ -71,7 +84,7 @@ def scan(column: pa.Array, network: Network) -> dict[int, list[Span]]:
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     begin = np.searchsorted(row, np.arange(len(column) + 1))
     spans: dict[int, list[Span]] = {}
-    free: list[int] = []
+    free: list[tuple[int, int, int]] = []  # row, first byte, end
     for r in sorted(set(row.tolist()) | named):
         mine = range(begin[r], begin[r + 1])
         zero = points[starts[r]]
@@ -79,21 +92,20 @@ def scan(column: pa.Array, network: Network) -> dict[int, list[Span]]:
         own = base_spans(column[r].as_py(), runs, r in named)
         if own:
             spans[r] = own
-        free += [i for i, (a, b) in zip(mine, runs, strict=True) if not any(s < b and a < e for s, _, e in own)]
+        for i, (a, b) in zip(mine, runs, strict=True):
+            free += [(r, int(at[i]) + x - a, int(at[i]) + y - a) for x, y in left_of(a, b, own) if y - x >= LEAST]  # a run is ASCII
     if free:
-        a, b = at[free], end[free]
+        text, a, b = np.asarray(free, np.int64).T
         parts = -(-(b - a) // BODY)
         which = np.repeat(np.arange(len(free)), parts)
         offset = (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)) * BODY
         score = np.zeros(len(free))
         for i in range(0, len(which), 8192):
             w = which[i : i + 8192]
-            text = row[free][w]
-            np.maximum.at(score, w, network.score(codes(data, a[w] + offset[i : i + 8192], b[w], starts[text], starts[text + 1])))
+            np.maximum.at(score, w, network.score(codes(data, a[w] + offset[i : i + 8192], b[w], starts[text[w]], starts[text[w] + 1])))
         for i in np.flatnonzero(score >= network.threshold).tolist():
-            r = int(row[free[i]])
-            zero = points[starts[r]]
-            spans.setdefault(r, []).append((int(points[a[i]] - zero), 3, int(points[b[i]] - zero)))
+            zero = points[starts[text[i]]]
+            spans.setdefault(int(text[i]), []).append((int(points[a[i]] - zero), 3, int(points[b[i]] - zero)))
     return {r: sorted(s) for r, s in spans.items()}
 
 
