@@ -9,10 +9,14 @@ each text that is itself spread so widely that it falls below. Pages of a host w
 
 Roles that HTML states are priors that shift the importance by ``SHIFT``: down for navigation, forms, advertisements, comments
 and the like, by element, role or class, and up in an article (or main element). Where class words say both, neither
-counts. A node on fewer than ``LEAST_PAGES`` pages has the importance of single texts, shifted. What browsers do not show is
+counts. Class words of an element that holds all articles of the page (without articles: its headings of the first rank) say
+nothing about what it holds, and neither do words about its layout (``has-sidebar``). In an article, words that
+may name a section of it (``SOFT``) leave it undecided. A node on fewer than ``LEAST_PAGES`` pages has the importance of single texts, shifted. What browsers do not show is
 no text of the page. Counts per (host, node, text) are aggregated with map-side partial counts, so that neither a large
-host nor a common text gathers in one task. Pages meet their host's list of exceptions: nodes and texts on which the tree
-decides against the role alone; it is broadcast if it is small.
+host nor a common text gathers in one task, and joins on nodes are salted. Pages meet the exceptions of their host: nodes and
+texts on which the tree decides against the role alone. While they are few they are broadcast as a list for each host;
+beyond that, blocks are joined with them by (host, key). A style node is the hash of its path, so that memory is
+proportional to a page however deep it is.
 
 Null and empty html: empty text. Null url: a host of its own. Repeated rows get a row each. Broken markup is read as
 browsers do: unclosed elements end with their parents, an unfinished tag at the end is dropped. An empty table gives no rows.
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import MOST_BROADCAST, shared_dir, slices, stored
 
 THRESHOLD, LEAST_PAGES, CONTENT = 0.4, 3, 0.9
+#: Tasks over which the texts of one node are dealt in a join.
+SALTS = 16
 #: What the roles -1 and 1 add to a node's importance.
 SHIFT = {-1: -0.58, 1: 0.25}
 
@@ -61,38 +68,52 @@ OTHER = frozenset(
     "disclaimer paywall".split()
 )
 MAIN = frozenset("article content main post entry story".split())
+#: Words that, within the article, may also name a section of it; and words that say how a page is laid out.
+SOFT = frozenset("related recommended recommendations search trending reply respond widget widgets".split())
+LAYOUT = frozenset("has with no without off on hide hides show shows open closed".split())
 #: Elements that an opening tag ends, if they are open in the same container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPE = frozenset("ul ol dl table body article section div html".split())
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+#: Own roles of elements: not shown, not the article by element, not the article by class, undecided, the article.
+UNSHOWN, NOT_BY_TAG, NOT_BY_CLASS, OPEN, ARTICLE = -3, -2, -1, 0, 1
 
 
 def role(tag: str, attributes: str, in_main: bool) -> tuple[int, str]:
-    """-2 not shown, -1 not the article, 1 the article, 0 undecided; and the classes."""
+    """The role of an element by itself, and its classes."""
     if tag in UNSEEN:
-        return -2, ""
+        return UNSHOWN, ""
     if tag in DROPPED or tag == "header" and not in_main:
-        return -1, ""
+        return NOT_BY_TAG, ""
     if not attributes or tag in ("html", "body"):
-        return (1 if tag in ("article", "main") else 0), ""
+        return (ARTICLE if tag in ("article", "main") else OPEN), ""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     css = " ".join(sorted(found.get("class", "").lower().split()))
     if "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("aria-hidden") == "true":
-        return -2, css
+        return UNSHOWN, css
     named = [{w.lower() for w in WORDS.findall(x)} for k in ("class", "id", "role") for x in found.get(k, "").split()]
+    named = [w for w in named if not w & LAYOUT]
     main = tag in ("article", "main") or any(w & MAIN and not w & OTHER for w in named)
-    if any(w & OTHER for w in named):
-        return (0 if main else -1), css
+    other = [w for w in named if w & OTHER]
+    if other:
+        return (OPEN if main or in_main and all(w & OTHER <= SOFT for w in other) else NOT_BY_CLASS), css
     if any("header" in w and not w & MAIN for w in named) and not (in_main or main):
-        return -1, css
-    return (1 if main or any(w & MAIN for w in named) else 0), css
+        return NOT_BY_CLASS, css
+    return (ARTICLE if main or any(w & MAIN for w in named) else OPEN), css
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, str]]:
-    """Blocks (style node, role, text) in page order, and each style node's order of children."""
-    blocks: list[tuple[str, int, str]] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, int, str, bool]] = [("", 0, "", False)]  # tag, role, path, in main
+def parse(page: str) -> tuple[list[tuple[int, int, int, str]], dict[int, str]]:
+    """Blocks (style node, its parent, role, text) in page order, and each style node's order of children.
+
+    Roles: -2 not shown, -1 not the article, 0 undecided, 1 the article.
+    """
+    blocks: list[tuple[int, int, int, int, str]] = []  # node, parent, role without classes, claim, text
+    children: dict[int, list[str]] = {}
+    # tag, node, parent, role without classes, in main, claim: the innermost element whose class says that it is no article
+    stack: list[tuple[str, int, int, int, bool, int]] = [("", ROOT, 0, 0, False, -1)]
+    claims: list[int] = []  # each claim's own outer claim
+    held: dict[str, list[int]] = {"article": [], "h1": []}  # the claims that articles and headings stand in
+    open_: Counter[str] = Counter()
     text: list[str] = []
 
     def flush() -> None:
@@ -100,21 +121,27 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, str]]:
             joined = "".join(text)
             clean = " ".join((html.unescape(joined) if "&" in joined else joined).split())
             if clean:
-                blocks.append((stack[-1][2], stack[-1][1], clean))
+                _, node, parent, own, _, claim = stack[-1]
+                blocks.append((node, parent, own, claim, clean))
             text.clear()
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            open_[x[0]] -= 1
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
-        open_ = page.find("<", at)
-        if open_ < 0:
+        next_ = page.find("<", at)
+        if next_ < 0:
             text.append(page[at:])
             break
-        if open_ > at:
-            text.append(page[at:open_])
-        m = TOKEN.match(page, open_)
+        if next_ > at:
+            text.append(page[at:next_])
+        m = TOKEN.match(page, next_)
         if not m:
             text.append("<")
-            at = open_ + 1
+            at = next_ + 1
             continue
         at = m.end()
         if m[2] is None:
@@ -123,17 +150,15 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, str]]:
         if m[1]:
             if tag in BLOCK or tag in DROPPED:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if open_[tag]:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
-            end = page.find(">", close.start()) if close else -1
+            end_tag = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
+            end = page.find(">", end_tag.start()) if end_tag else -1
             at = end + 1 if end >= 0 else n
             continue
         if tag in BLOCK or tag in DROPPED:
@@ -141,25 +166,51 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], dict[str, str]]:
             if tag in VOID:
                 continue
             ends = ENDS.get(tag) or ({"p"} if tag in BLOCK else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE or stack[i][0] in DROPPED:
-                    break
-            _, above, path, in_main = stack[-1]
+            if any(open_[e] for e in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in ends:
+                        close(i)
+                        break
+                    if stack[i][0] in SCOPE or stack[i][0] in DROPPED:
+                        break
+            _, node, _, above, in_main, claim = stack[-1]
             own, css = role(tag, m[3], in_main)
+            if own == NOT_BY_CLASS:
+                claims.append(claim)
+                claim = len(claims) - 1
+            elif tag in ("article", "main"):
+                held["article"].append(claim)
+            elif tag == "h1":
+                held["h1"].append(claim)
             name = f"{tag}.{css}" if css else tag
-            children.setdefault(path, []).append(name)
-            stack.append((tag, min(above, own) if above < 0 or own < 0 else max(above, own), f"{path}/{name}", in_main or own > 0))
+            children.setdefault(node, []).append(name)
+            plain = {UNSHOWN: -2, NOT_BY_TAG: -1, ARTICLE: 1}.get(own, 0)
+            stack.append((tag, _hash(f"{node} {name}"), node, min(above, plain) if above < 0 or plain < 0 else max(above, plain), in_main or own == ARTICLE, claim))
+            open_[tag] += 1
     flush()
-    return blocks, {k: ">".join(x for i, x in enumerate(v) if not i or v[i - 1] != x) for k, v in children.items()}
+    inside = [0] * len(claims)
+    marks = held["article"] or held["h1"]
+    for c in marks:
+        if c >= 0:
+            inside[c] += 1
+    for c in range(len(claims) - 1, -1, -1):
+        if claims[c] >= 0:
+            inside[claims[c]] += inside[c]
+    no_article: list[bool] = []
+    for c, outer in enumerate(claims):
+        no_article.append(not (marks and inside[c] == len(marks)) or outer >= 0 and no_article[outer])
+    out = [(node, parent, min(own, -1) if claim >= 0 and no_article[claim] else own, t) for node, parent, own, claim, t in blocks]
+    return out, {k: ">".join(x for i, x in enumerate(v) if not i or v[i - 1] != x) for k, v in children.items()}
 
 
 def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+#: The style node above all.
+ROOT = _hash("")
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").removeprefix("www.")
@@ -185,8 +236,8 @@ def parsed(pages: DataFrame) -> DataFrame:
                 out = {"host": [], "mark": [], "blocks": [], "features": []}
                 for url, page in zip(urls, part.column("html").to_pylist(), strict=True):
                     blocks, children = parse(page or "")
-                    mine = [(_hash(f"{r}{node}"), _hash(node.rpartition("/")[0]), r, _hash(text), text) for node, r, text in blocks if r > -2]
-                    tree = {(node, parent, r, h) for node, parent, r, h, _ in mine} | {(_hash(node), 0, ORDER, _hash(order)) for node, order in children.items()}
+                    mine = [(_hash(f"{r} {node}"), parent, r, _hash(text), text) for node, parent, r, text in blocks if r > -2]
+                    tree = {(node, parent, r, h) for node, parent, r, h, _ in mine} | {(node, 0, ORDER, _hash(order)) for node, order in children.items()}
                     out["host"].append(host_of(url))
                     out["mark"].append(_hash(" ".join(f"{node} {h}" for node, _, _, h, _ in mine)))
                     out["blocks"].append([{"node": node, "role": r, "h": h, "text": t} for node, _, r, h, t in mine])
@@ -208,7 +259,9 @@ def exceptions(rows: DataFrame, threshold: float) -> DataFrame:
     pages = distinct.select("host", F.explode(F.array_distinct(F.transform("features", lambda f: f["node"]))).alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages"))
     base = F.log(F.greatest(F.col("pages"), F.lit(2)))
     known = F.col("pages") >= LEAST_PAGES
-    with_pages = spread.join(pages, ["host", "node"]).withColumn("own", F.when(known, 1 - F.log("n") / base).otherwise(1.0))
+    # a node that many texts stand at is dealt over SALTS tasks
+    salted = pages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    with_pages = spread.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["host", "node", "salt"]).withColumn("own", F.when(known, 1 - F.log("n") / base).otherwise(1.0))
     shift = F.when(F.col("kind") < 0, SHIFT[-1]).when(F.col("kind") > 0, SHIFT[1]).otherwise(0.0)
     share = F.col("n") / F.col("pages")
     shown = with_pages.where(F.col("kind") == ORDER).groupBy("host", F.col("node").alias("parent")).agg(F.sum(-share * F.log(share) / base).alias("shown"))
@@ -222,15 +275,32 @@ def exceptions(rows: DataFrame, threshold: float) -> DataFrame:
     return against.union(gone.select("host", F.xxhash64("node", "h").alias("key")))
 
 
-def extract(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _kept_by_list(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows' blocks that stay, with few keys: a list of them for each host is broadcast."""
+    lists = F.broadcast(keys.groupBy("host").agg(F.collect_set("key").alias("keys")))
+    listed = lambda key: F.coalesce(F.array_contains("keys", key), F.lit(False))
+    keep = lambda b: ((b["role"] < 0) == listed(b["node"])) & ~listed(F.xxhash64(b["node"], b["h"]))
+    return rows.select("page_id", "url", "host", "blocks").join(lists, "host", "left").select("page_id", "url", F.filter("blocks", keep).alias("blocks"))
+
+
+def _kept_by_join(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same with any number of keys: places of blocks, without their texts, meet them by (host, key)."""
+    each = rows.select("row", "host", F.posexplode("blocks").alias("place", "b")).select(
+        "row", "host", "place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("b.node").alias("key")), F.struct(F.lit(1).alias("kind"), F.xxhash64("b.node", "b.h").alias("key")))).alias("x")
+    )
+    met = each.select("row", "host", "place", "x.*").join(keys.distinct(), ["host", "key"], "left_semi")
+    places = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("place")))
+    hit = met.groupBy("row").agg(places(0).alias("nodes"), places(1).alias("texts"))
+    listed = lambda name, i: F.coalesce(F.array_contains(name, i), F.lit(False))
+    keep = lambda b, i: ((b["role"] < 0) == listed("nodes", i)) & ~listed("texts", i)
+    return rows.select("row", "page_id", "url", "blocks").join(hit, "row", "left").select("page_id", "url", F.filter("blocks", keep).alias("blocks"))
+
+
+def extract(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOLD, most_keys: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars."""
     folder = shared_dir(spark)
-    rows = stored(parsed(pages), f"{folder}/parsed")
+    rows = stored(parsed(pages).withColumn("row", F.monotonically_increasing_id()), f"{folder}/parsed")
     keys = stored(exceptions(rows.select("host", "mark", "features"), threshold), f"{folder}/keys")
-    lists = keys.groupBy("host").agg(F.collect_set("key").alias("keys"))
-    lists = F.broadcast(lists) if keys.count() <= MOST_BROADCAST else lists
-    listed = lambda key: F.coalesce(F.array_contains("keys", key), F.lit(False))
-    keep = lambda b: ((b["role"] < 0) == listed(b["node"])) & ~listed(F.xxhash64(b["node"], b["h"]))
-    kept = rows.select("page_id", "url", "host", "blocks").join(lists, "host", "left").select("page_id", "url", F.filter("blocks", keep).alias("blocks"))
+    kept = (_kept_by_list if keys.count() <= most_keys else _kept_by_join)(rows, keys)
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
     return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
