@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .oracles import LICENSES
+from .oracles import LICENSES, LINE_RULES
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,4 +86,4 @@ QUERIES = {
     "op9_discriminant": op9_discriminant,
     "op10_best_fit": op10_best_fit,
 }
-ORACLES: dict[str, str] = {"op4_licenses": LICENSES}
+ORACLES: dict[str, str] = {"op2_line_rules": LINE_RULES, "op4_licenses": LICENSES}
