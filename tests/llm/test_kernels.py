@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from litgraph.llm import decontaminate, idfile, near_dup, packing, quality, secrets_cnn, secrets_scan, sharding, site_tree
+from litgraph.llm import common, decontaminate, idfile, near_dup, packing, quality, secrets_cnn, secrets_scan, sharding, site_tree
 from litgraph.llm.queries import tokenizer_path
 from litgraph.llm.tokens import Encoder
 
@@ -27,6 +27,48 @@ def test_runs_give_the_tokenizers_own_ids(name):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == e.plain([t or "" for t in some])
 
 
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join(b if x else a for x in bits)
+
+
+PERIODIC = [w for n in (1024, 2048, 4096) for w in (thue_morse(n, "a", "b"), thue_morse(n, "b", "a"))]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_runs_that_share_a_hash_keep_their_own_ids(name):
+    few = lambda data, at, end: ((end - at) % 7).astype(np.uint64)
+    texts = [*PERIODIC, "one two six ten", "red", "a b c d", *(f"w{i} x{i}" for i in range(50)), None, ""]
+    for e in (Encoder(tokenizer_path(name)), Encoder(tokenizer_path(name), hashes=few), Encoder(tokenizer_path(name), memo=3)):
+        for some in (texts, texts[::-1]):
+            ids, at = e.encode(pa.array(some, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == e.plain([t or "" for t in some])
+
+
+def test_tokenizers_of_other_kinds_encode_whole_texts(tmp_path):
+    import json
+
+    spec = json.loads(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "byte_bpe_50k.json").write_text(json.dumps(spec), encoding="utf-8")
+    e = Encoder(str(tmp_path / "byte_bpe_50k.json"))
+    ids, at = e.encode(pa.array(["one two", None, "six"], pa.string()))
+    assert not e.known and [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == e.plain(["one two", "", "six"])
+
+
+def test_word_hashes_tell_words_apart():
+    rnd = random.Random(7)
+    texts = sorted({*PERIODIC, *("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 30))) for _ in range(3000)), "éa", "aé"})
+    h, _, doc = common.words(*common.text_bytes(pa.array(texts)))
+    assert len(h) == len(texts) == len(set(h.tolist())) and doc.tolist() == list(range(len(texts)))
+    again, _, _ = common.words(*common.text_bytes(pa.array([" ".join(t.upper() if t.isascii() else t for t in texts[::-1])])))
+    assert again.tolist() == h.tolist()[::-1]
+    a, b = near_dup._vectors([" ".join(PERIODIC[::2]), " ".join(PERIODIC[1::2])])
+    assert near_dup.probability_jaccard(a, b) == 0
+
+
 @pytest.mark.parametrize("vocabulary", [2, 3, 1000, 50257, 70000, 1 << 20])
 def test_id_files_round_trip(vocabulary):
     rng = np.random.default_rng(vocabulary)
@@ -86,13 +128,50 @@ def test_prob_minhash_estimates_similarity():
     assert abs((s[0] == s[1]).mean() - 240 / 360) < 0.05
 
 
-def test_simhash_index_finds_all_within_radius():
-    rnd = random.Random(4)
+def test_simhash_index_finds_all_within_radius_and_little_else():
+    rng, rnd = np.random.default_rng(4), random.Random(4)
     words = [f"w{i}" for i in range(500)]
     index = decontaminate.Index([(i, " ".join(rnd.choice(words) for _ in range(30))) for i in range(50)])
-    prints = np.asarray([rnd.getrandbits(64) for _ in range(200)], np.uint64)
+    near = index.prints[rng.integers(0, 50, 400)].copy()
+    for row, n in enumerate(rng.integers(0, 80, 400)):  # each with so many bits turned
+        for bit in rng.choice(256, n, replace=False):
+            near[row, bit // 16] ^= np.uint16(1 << int(bit % 16))
+    prints = np.concatenate([near, rng.integers(0, 65536, (2000, 16)).astype(np.uint16)])
     got = set(zip(*map(np.ndarray.tolist, index.near(30, prints)), strict=True))
-    assert got == {(w, i) for w in range(200) for i in range(50) if int(decontaminate.hamming(prints[w], index.prints[i])) <= decontaminate.RADIUS}
+    want = {(w, i) for w in range(len(prints)) for i in range(50) if int(decontaminate.hamming(prints[w], index.prints[i])) <= decontaminate.RADIUS}
+    assert got == want and len(want) > 100
+    assert len(index.candidates(30, prints[400:])) < 0.05 * 2000 * 50
+
+
+def test_recall_of_changed_passages():
+    """Passages with words replaced, against every window compared exactly: nine of ten at least are found."""
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    items = [" ".join(rnd.choice(words) for _ in range(60 + i % 40)) for i in range(200)]
+    docs = []
+    for item in items:
+        w = item.split()
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(len(w))] = "changed"
+        docs.append(" ".join([*(rnd.choice(words) for _ in range(50)), *w, *(rnd.choice(words) for _ in range(50))]))
+    index = decontaminate.Index(list(enumerate(items)))
+    got = {(m[0], m[1]) for m in decontaminate.matches(index, pa.array(docs))}
+    every = decontaminate.Index(list(enumerate(items)))
+    every.near = lambda size, prints: tuple(x.reshape(-1) for x in np.meshgrid(np.arange(len(prints)), every.sizes[size][0], indexing="ij"))
+    want = {(m[0], m[1]) for m in decontaminate.matches(every, pa.array(docs))}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100
+
+
+def test_far_hits_in_a_long_text_take_little_memory():
+    import tracemalloc
+
+    item = " ".join(f"i{k}" for k in range(40))
+    text = f"{item} {'filler word ' * 300_000}{item}"
+    index = decontaminate.Index([(1, item)])
+    tracemalloc.start()
+    got = decontaminate.matches(index, pa.array([text]))
+    assert [(m[1], m[2], m[4]) for m in got] == [(0, 0, 1.0)] and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
 
 
 def test_leaks_against_every_window():
@@ -143,12 +222,59 @@ def test_secret_spans():
     assert set(spans) == {2, 3}
 
 
+def test_what_spans_leave_of_a_candidate_is_scored():
+    network = secrets_cnn.model()
+    text = "id 0123456789abcdef01234567-Zq8Xw2Lp9Rt5Vb7Nm3Kd6Jh end"
+    assert secrets_scan.written(secrets_scan.scan(pa.array([text]), network)[0]) == "hex:3:27,cnn:27:51"
+    assert secrets_scan.left_of(3, 30, [(0, 0, 5), (8, 1, 10), (9, 2, 12), (28, 2, 40)]) == [(5, 8), (12, 28)]
+    assert secrets_scan.left_of(3, 30, []) == [(3, 30)] and secrets_scan.left_of(3, 30, [(0, 0, 50)]) == []
+
+
+def test_keys_planted_in_documents(duck):
+    """Nine of ten keys of 32 to 40 characters in real texts are found whole, and the texts themselves have next to none."""
+    rnd, network = random.Random(8), secrets_cnn.model()
+    texts = [t for (t,) in duck.execute("SELECT text FROM documents WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted, places = [], []
+    for t in texts:
+        w, key = t.split(" "), "".join(rnd.choice(chars) for _ in range(rnd.randint(32, 40)))
+        at = rnd.randrange(len(w) + 1)
+        before = " ".join(w[:at]) + " "
+        planted.append(f"{before}{key} {' '.join(w[at:])}")
+        places.append((len(before), len(before) + len(key)))
+    found = secrets_scan.scan(pa.array(planted), network)
+    assert sum(any(s <= a and e >= b for s, _, e in found.get(i, [])) for i, (a, b) in enumerate(places)) >= 0.9 * len(texts)
+    added = [x for spans in secrets_scan.scan(pa.array(texts), network).values() for x in spans if x[1] == 3]
+    assert len(added) <= 0.01 * len(texts)
+
+
+def test_site_tree_of_deep_markup():
+    import tracemalloc
+
+    tracemalloc.start()
+    blocks, children = site_tree.parse("<div>" * 50_000 + "deep</section></p></li>" * 3)
+    assert [b[3] for b in blocks] == ["deep", "deep", "deep"] and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_classes_of_containers():
+    def texts(page):
+        return [t for *_, r, t in site_tree.parse(page)[0] if r >= 0]
+
+    assert texts('<div id="page" class="sidebar-page"><article><p>a</p></article></div>') == ["a"]
+    assert texts('<div class="with-sidebar"><p>a</p></div>') == ["a"] and texts('<main class="search-results-off"><p>a</p></main>') == ["a"]
+    assert texts('<article>a<div class="related-work">b</div></article><div class="related">c</div>') == ["a", "b"]
+    assert texts('<article>a</article><div class="comments"><article>nice</article></div>') == ["a"]
+    assert texts('<div class="sidebar"><article>tip</article></div><main>a</main>') == ["a"]
+    assert texts('<div class="widget-wrap"><h1>T</h1><p>a</p><div class="comments">b</div></div>') == ["T", "a"]
+
+
 def test_site_tree_parse():
     page = """<html><head><title>x</title></head><body class="no-sidebar"><nav>menu</nav><article><h1>T &amp; U</h1><p>one<br>two <b>three<p>four
     </article><div class="comments"><p>nice</div><script>var a="</p>";</script><footer>f</footer><p>cut <a hre"""
     blocks, _ = site_tree.parse(page)
-    assert [t for _, r, t in blocks if r > 0] == ["T & U", "one two three", "four"]
-    assert site_tree.parse("") == ([], {}) and site_tree.parse("<") [0] == [("", 0, "<")]
+    assert [t for *_, r, t in blocks if r > 0] == ["T & U", "one two three", "four"]
+    assert site_tree.parse("") == ([], {}) and site_tree.parse("<")[0] == [(site_tree.ROOT, 0, 0, "<")]
 
 
 def test_tree_weights():

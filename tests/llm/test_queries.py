@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 import corpus_pipeline
-from litgraph.llm import decontaminate, near_dup, quality, queries, secrets_scan
+from litgraph.llm import decontaminate, near_dup, quality, queries, secrets_scan, sharding
 from litgraph.llm.common import text_bytes
 from litgraph.llm.queries import tokenizer_path
 from litgraph.llm.tokens import Encoder
@@ -60,6 +63,14 @@ def test_op2_base(docs, run):
         assert not (failed and got[k]["kept"])
 
 
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_sql(name, duck, run):
+    want = duck.execute(queries.ORACLES[name])
+    names = [c[0] for c in want.description]
+    key = lambda r: tuple(str(r[c]) for c in names)
+    assert sorted(key(r) for r in run(name)) == sorted(key(dict(zip(names, r, strict=True))) for r in want.fetchall())
+
+
 def test_op3_base(docs, run):
     got = {r["doc_id"]: r for r in run("op3_secrets")}
     for k, t in docs:
@@ -71,13 +82,6 @@ def test_op3_base(docs, run):
         assert set(filter(None, text.split(","))) <= set(got[k]["spans"].split(","))
 
 
-def test_op4(duck, run):
-    want = duck.execute(queries.ORACLES["op4_licenses"])
-    names = [c[0] for c in want.description]
-    key = lambda r: tuple(str(r[c]) for c in names)
-    assert sorted(key(r) for r in run("op4_licenses")) == sorted(key(dict(zip(names, r, strict=True))) for r in want.fetchall())
-
-
 def test_op5(docs, duck, run):
     got = {(r["doc_id"], r["item_id"]) for r in run("op5_simhash_leaks")}
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
@@ -92,10 +96,25 @@ def shingles(text):
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
+def descend(node, doc_id):
+    """The shard by the least of the children's draws, with the xxhash library."""
+    while node.shard is None:
+        draws = []
+        for child in node.children:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=xxhash.xxh64_intdigest(child.name.encode(), seed=42))
+            draws.append(-math.log(((h >> 12) + 0.5) / 2**52) / child.weight)
+        node = node.children[draws.index(min(draws))]
+    return node.shard
+
+
 def test_op6(docs, run):
     rows = run("op6_hash_tree")
-    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {k: (len(t.encode()) + 1, zlib.crc32(t.encode())) for k, t in docs}
-    assert all(r["grown_shard"] in (r["shard"], 16) for r in rows)
+    now, grown = sharding.topology(16), sharding.topology(17)
+    want = {k: (len(t.encode()) + 1, zlib.crc32(t.encode()), descend(now, k), descend(grown, k)) for k, t in docs}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in rows} == want
+    for s in range(16):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert slots == list(range(len(slots)))
 
 
 def test_op7(duck, run):
