@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from litgraph.llm import decontaminate, near_dup, packing, quality, secrets_scan
-from litgraph.llm.common import shared_dir, table
+from litgraph.llm.common import made, release, shared_dir, table
 from litgraph.llm.queries import tokenizer_path
 
 
@@ -51,12 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what a stage kept for itself is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_dir(spark)
     for i, (name, stage) in enumerate(STAGES):
+        at = made()
         out = stage(spark, docs, sf_dir)
         if i + 1 == len(STAGES):
             return out
         out.write.mode("overwrite").parquet(f"{folder}/{i}-{name}")
+        release(spark, at)
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
