@@ -37,6 +37,18 @@ VIEWS = {
     "claims": """SELECT o_orderkey AS claim, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS other, o_orderstatus AS stance,
         lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS other_stance FROM orders""",
     "topics": """SELECT user_id AS work_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS topic, event_type AS kind, ts AS issued FROM events""",
+    # one review for each brand and size: a few dozen to a few hundred works, at any scale
+    "project_works": "SELECT DISTINCT concat(p_brand, '/', p_size) AS project_id, l_orderkey AS work_id FROM lineitem JOIN part ON p_partkey = l_partkey",
+    "project_citations": """SELECT DISTINCT x.project_id, citing, cited FROM citations JOIN project_works x ON x.work_id = citing
+        JOIN project_works y ON y.work_id = cited AND y.project_id = x.project_id WHERE citing <> cited""",
+    # parts as concepts: the works that share one are as many at any scale
+    "work_parts": "SELECT DISTINCT l_orderkey AS work_id, l_partkey AS concept_id FROM lineitem",
+    # works of a period and a group of countries
+    "eras": """SELECT o_orderkey AS work_id, concat(year(o_orderdate), '-', c_nationkey % 5) AS cluster_id FROM orders JOIN customer ON c_custkey = o_custkey
+        WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
+    "papers": """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'Posted-Content' WHEN 'F' THEN 'article' END AS work_type, CASE WHEN o_orderkey % 3 = 0 THEN concat('2101.', o_orderkey) END AS arxiv_id,
+        CASE o_orderpriority WHEN '1-URGENT' THEN 'arXiv (Cornell University)' WHEN '2-HIGH' THEN 'Journal' END AS venue, CASE o_orderkey % 5 WHEN 0 THEN concat('https://doi.org/10.48550/arxiv.', o_orderkey) WHEN 1 THEN concat('10.1000/', o_orderkey) END AS doi,
+        concat('https://openalex.org/W', o_orderkey) AS openalex_id, year(o_orderdate) AS year FROM orders""",
     "clusters": """SELECT o_orderkey AS work_id, c_nationkey AS cluster_id FROM orders JOIN customer ON c_custkey = o_custkey""",
 }
 
@@ -59,7 +71,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    used = [t for t in (*TABLES, *VIEWS) if t != name and re.search(rf"\b{t}\b", text)]
     marked = re.sub(rf"\b({'|'.join(used)})\b", r"{\1}", text)
     return spark.sql(marked, **{t: view(spark, sf_dir, t) for t in used})
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrases
+from .lineage import ranked, saver
 
 
 # --- similarity graph -----------------------------------------------------------------------------------
@@ -16,10 +17,24 @@ def citation_weights(citations: DataFrame) -> DataFrame:
     return citations.where("citing <> cited").select(F.least("citing", "cited").alias("a"), F.greatest("citing", "cited").alias("b")).distinct().withColumn("weight", F.lit(1.0))
 
 
+#: Members of a key that meet in one task.
+BLOCK = 1000
+
+
+def pairs_within(rows: DataFrame, key: str, value: str, block: int = BLOCK) -> DataFrame:
+    """a, b: every two values (a < b) of each key. Values of a key with more than ``block`` are dealt into blocks by a hash, and every
+    two blocks meet in a join key of their own, so that no key is one task's work."""
+    blocks = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, key).withColumn("own", F.pmod(F.xxhash64(value), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = dealt.select(F.col(key).alias("k"), F.col(value).alias("a"), F.col("own").alias("i"), F.explode(every).alias("j"))
+    right = dealt.select(F.col(key).alias("k"), F.col(value).alias("b"), F.col("own").alias("j"), F.explode(every).alias("i"))
+    return left.join(right, ["k", "i", "j"]).where("a < b").select("a", "b")
+
+
 def coupling_weights(citations: DataFrame, each: float = 0.5, most: float = 2.0) -> DataFrame:
     """Half for each work that both cite, at most two."""
-    c = citations.select("citing", "cited").distinct()
-    pairs = c.select(F.col("citing").alias("a"), "cited").join(c.select(F.col("citing").alias("b"), "cited"), "cited").where("a < b")
+    pairs = pairs_within(citations.select("citing", "cited").distinct(), "cited", "citing")
     return pairs.groupBy("a", "b").agg(F.least(F.lit(most), each * F.count("*")).alias("weight"))
 
 
@@ -27,11 +42,10 @@ def concept_weights(work_concepts: DataFrame, least: float = 0.2, factor: float
     """Half the Jaccard similarity of the concept sets, from 0.2 up."""
     wc = work_concepts.select("work_id", "concept_id").distinct()
     size = wc.groupBy("work_id").agg(F.count("*").alias("n"))
-    own = wc.join(size, "work_id")
-    pairs = own.select(F.col("work_id").alias("a"), F.col("n").alias("na"), "concept_id").join(own.select(F.col("work_id").alias("b"), F.col("n").alias("nb"), "concept_id"), "concept_id").where("a < b")
-    shared = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
+    shared = pairs_within(wc, "concept_id", "work_id").groupBy("a", "b").agg(F.count("*").alias("m"))
+    both = shared.join(size.select(F.col("work_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("work_id").alias("b"), F.col("n").alias("nb")), "b")
     jaccard = F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))
-    return shared.where(jaccard >= least).select("a", "b", (factor * jaccard).alias("weight"))
+    return both.where(jaccard >= least).select("a", "b", (factor * jaccard).alias("weight"))
 
 
 def similarity_graph(*weights: DataFrame) -> DataFrame:
@@ -44,49 +58,58 @@ def similarity_graph(*weights: DataFrame) -> DataFrame:
 # --- centrality and roles -----------------------------------------------------------------------------------
 
 
-def pagerank(works: DataFrame, citations: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = None, save=None) -> DataFrame:
-    """Power iteration with the dangling mass spread evenly. ``save`` cuts the lineage after each round."""
+def pagerank(works: DataFrame, citations: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, save=None) -> DataFrame:
+    """Power iteration with the dangling mass spread evenly, until the ranks' total change is below N * tolerance. ``save`` cuts the
+    lineage after each round."""
     n = works.count()
     out = citations.groupBy("citing").agg(F.count("*").alias("out"))
     edges = citations.join(out, "citing")
-    rank = works.select("id", F.lit(1.0 / n).alias("rank"))
+    rank = works.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     sources = citations.select(F.col("citing").alias("id")).distinct()
     for _ in range(rounds):
         given = edges.join(rank.withColumnRenamed("id", "citing"), "citing").groupBy(F.col("cited").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
         lost = rank.join(sources, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
-        new = works.select("id").join(given, "id", "left").join(F.broadcast(lost)).select("id", ((1 - alpha) / n + alpha * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        new = rank.select("id", F.col("rank").alias("old")).join(given, "id", "left").join(F.broadcast(lost))
+        new = new.select("id", "old", ((1 - alpha) / n + alpha * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         new = save(new) if save else new
-        if tolerance is not None and new.join(rank.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
-            return new
-        rank = new
+        rank = new.drop("old")
+        if (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
+            break
     return rank
 
 
 def top_share(values: DataFrame, value: str, share: float = 0.1) -> DataFrame:
-    """Ids of the top tenth (at least one) by value, then id. The cut comes from a count, so no single task sorts all."""
+    """Ids of the top tenth (at least one) by value, then id; places are counted over ranges of the order."""
     n = values.count()
-    k = 1 if n < 10 else -(-n * int(share * 100) // 100)
-    return values.orderBy(F.desc(value), "id").limit(k).select("id")
-
-
-def roles(works: DataFrame, degrees: DataFrame, rank: DataFrame | None = None, betweenness: DataFrame | None = None, neighbours: DataFrame | None = None) -> DataFrame:
-    """Structural roles: foundational, bridge, hub, emerging, peripheral."""
-    newest = works.agg(F.max("year").alias("newest"))
-    rows = works.select("id", "year").join(degrees, "id").join(F.broadcast(newest))
-    for name, top in (("top_out", top_share(degrees, "out_degree")), ("top_rank", top_share(rank, "rank") if rank else None), ("top_between", top_share(betweenness, "betweenness") if betweenness else None)):
-        rows = rows.join(top.withColumn(name, F.lit(True)), "id", "left") if top is not None else rows.withColumn(name, F.lit(None).cast("boolean"))
-    if neighbours is not None:
-        rows = rows.join(neighbours.select("id", "clusters"), "id", "left")
-    else:
-        rows = rows.withColumn("clusters", F.lit(0))
+    k = 1 if n < 10 else -(-n * round(share * 1000) // 1000)
+    return ranked(values.select("id", value), [F.desc(value), F.col("id")], "_place").where(F.col("_place") <= k).select("id")
+
+
+def top_share_within(values: DataFrame, group: str, value: str, share: float = 0.1) -> DataFrame:
+    """The same within each group: a project is what a reader reviews, so its works fit in one task."""
+    w = Window.partitionBy(group)
+    place = F.row_number().over(w.orderBy(F.desc(value), "id"))
+    n = F.count("*").over(w)
+    k = F.when(n < 10, F.lit(1)).otherwise(F.ceil(n * F.lit(round(share * 1000)) / 1000))
+    return values.select(group, "id", place.alias("_place"), k.alias("_k")).where("_place <= _k").select(group, "id")
+
+
+def project_roles(works: DataFrame, centrality: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Structural roles within projects. works: id, year. centrality: project_id, id, rank, betweenness, in_degree, out_degree.
+    neighbours: project_id, id, clusters (of the works that cite it or are cited by it)."""
+    centrality = saver(works.sparkSession)(centrality)
+    rows = centrality.join(works.select("id", "year"), "id").join(neighbours, ["project_id", "id"], "left").na.fill(0, ["clusters"])
+    rows = rows.withColumn("newest", F.max("year").over(Window.partitionBy("project_id")))
+    for name, value in (("top_rank", "rank"), ("top_between", "betweenness"), ("top_out", "out_degree")):
+        rows = rows.join(top_share_within(centrality, "project_id", value).withColumn(name, F.lit(True)), ["project_id", "id"], "left")
     found = F.array_compact(F.array(
         F.when(F.col("top_rank") & (F.col("in_degree") >= 3), F.lit("foundational")),
-        F.when(F.col("top_between") & (F.col("clusters") >= 2), F.lit("bridge")),
+        F.when(F.col("top_between") & (F.col("betweenness") > 0) & (F.col("clusters") >= 2), F.lit("bridge")),
         F.when(F.col("top_out") & (F.col("out_degree") >= 5), F.lit("hub")),
         F.when((F.col("year") >= F.col("newest") - 1) & (F.col("in_degree") <= 1) & (F.col("out_degree") >= 2), F.lit("emerging")),
         F.when(F.col("in_degree") + F.col("out_degree") == 0, F.lit("peripheral")),
     ))
-    return rows.select("id", "in_degree", "out_degree", F.array_join(found, ",").alias("roles"))
+    return rows.select("project_id", "id", "in_degree", "out_degree", F.array_join(found, ",").alias("roles"))
 
 
 def neighbour_clusters(citations: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -98,26 +121,28 @@ def neighbour_clusters(citations: DataFrame, clusters: DataFrame) -> DataFrame:
 # --- frontier ---------------------------------------------------------------------------------------------
 
 
-def average_percentile(value: str, over: Window) -> Column:
-    """Rank in [0, 1] with ties at their average; a single row has 1."""
-    ties = F.count("*").over(over.partitionBy(value))
-    rank = F.rank().over(over.orderBy(value))
-    return (rank - 1 + (ties - 1) / 2.0)
-
-
 def tied_percentiles(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """Percentile of each row's value, from counts of distinct values, so that the sort is over those alone."""
+    """Percentile of each row's value in [0, 1], ties at their average, a single row 1: from counts of distinct values, summed over
+    ranges of them."""
     valued = rows.withColumn("_v", value)
     counts = valued.groupBy("_v").agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.select("_v", (below + (F.col("_n") - 1) / 2.0).alias("_place"))
+    placed = ranked(counts, [F.col("_v")], "_to", F.col("_n")).select("_v", (F.col("_to") - F.col("_n") + (F.col("_n") - 1) / 2.0).alias("_place"))
     total = valued.agg(F.count("*").alias("_all"))
     out = valued.join(placed, "_v").join(F.broadcast(total))
     return out.withColumn(name, F.when(F.col("_all") > 1, F.col("_place") / (F.col("_all") - 1)).otherwise(F.lit(1.0))).drop("_v", "_place", "_all")
 
 
+def preprint(work_type: Column, arxiv_id: Column, venue: Column, doi: Column) -> Column:
+    """Marked as one, or on arXiv with no other venue and no other DOI."""
+    kind = F.trim(F.regexp_replace(F.lower(F.coalesce(work_type, F.lit(""))), "[^a-z0-9]+", " "))
+    marked = kind.rlike("preprint|working ?paper|posted content")
+    bare = F.regexp_replace(F.trim(F.lower(F.coalesce(doi, F.lit("")))), r"^https?://(dx\.)?doi\.org/", "")
+    place = F.trim(F.lower(F.coalesce(venue, F.lit(""))))
+    return marked | ((F.trim(F.coalesce(arxiv_id, F.lit(""))) != "") & ((place == "") | place.startswith("arxiv")) & ((bare == "") | bare.startswith("10.48550/")))
+
+
 def frontier_parts(works: DataFrame, citations: DataFrame, clusters: DataFrame, work_concepts: DataFrame, path: DataFrame, now: int, window: int = 2) -> DataFrame:
-    """Components of the frontier score of works in [now - window, now]: velocity, uptake, leaf, growth, novelty."""
+    """Components of the frontier score of works in [now - window, now]: velocity, uptake, leaf, growth, novelty; unrounded."""
     recent = works.where(F.col("year").between(now - window, now))
     velocity = F.greatest(F.lit(0), "cited_by_count") / F.greatest(F.lit(1), now - F.col("year") + 1)
     rows = tied_percentiles(recent, velocity, "velocity")
@@ -132,7 +157,7 @@ def frontier_parts(works: DataFrame, citations: DataFrame, clusters: DataFrame,
     fresh = new_concepts(works, work_concepts, now, window)
     novel = work_concepts.join(fresh, "concept_id", "left_semi").select(F.col("work_id").alias("id")).distinct().withColumn("novelty", F.lit(1.0))
     rows = rows.join(novel, "id", "left").na.fill(0.0, ["novelty"])
-    return rows.select("id", "year", *[F.round(c, 6).alias(c) for c in ("velocity", "uptake", "leaf", "growth", "novelty")])
+    return rows.select("id", "year", "velocity", "uptake", "leaf", "growth", "novelty")
 
 
 def growth(works: DataFrame, clusters: DataFrame, now: int, window: int) -> DataFrame:
@@ -156,10 +181,10 @@ WEIGHTS = {"velocity": 0.30, "uptake": 0.15, "leaf": 0.15, "growth": 0.15, "nove
 
 
 def frontier_score(parts: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The weighted sum of all components, rounded once, in the order of the result."""
     total = F.lit(0.0)
     for c, w in weights.items():
-        if c in parts.columns:
-            total = total + w * F.col(c)
+        total = total + w * F.col(c)
     return parts.select("id", F.round(total, 6).alias("score")).orderBy(F.desc("score"), "id")
 
 
@@ -201,23 +226,39 @@ def title_scores(clusters: DataFrame, works: DataFrame, least: int = 2) -> DataF
 # --- gaps ----------------------------------------------------------------------------------------------
 
 
-def bridging(clusters: DataFrame, work_concepts: DataFrame, citations: DataFrame, similar: float = 0.30, density: float = 0.25) -> DataFrame:
-    """Cluster pairs with like concepts and few citations between them."""
+def bridging(clusters: DataFrame, work_concepts: DataFrame, citations: DataFrame, works: DataFrame, similar: float = 0.30, density: float = 0.25) -> DataFrame:
+    """Cluster pairs with like concepts and few citations between them, their first three shared concepts, the most central work of
+    each (most cited within, then by all, then the least title and id) and the two terms to search for."""
     freq = clusters.join(work_concepts.select("work_id", "concept_id").distinct(), "work_id").groupBy("cluster_id", "concept_id").agg(F.count("*").alias("f"))
     norm = freq.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("f") * F.col("f"))).alias("norm"))
     own = freq.join(norm, "cluster_id")
     x = own.select(F.col("cluster_id").alias("a"), "concept_id", F.col("f").alias("fa"), F.col("norm").alias("na"))
     y = own.select(F.col("cluster_id").alias("b"), "concept_id", F.col("f").alias("fb"), F.col("norm").alias("nb"))
-    cosine = x.join(y, "concept_id").where("a < b").groupBy("a", "b", "na", "nb").agg(F.sum(F.col("fa") * F.col("fb")).alias("dot")).select("a", "b", (F.col("dot") / F.col("na") / F.col("nb")).alias("similarity"))
+    by_both = F.array_sort(F.collect_list(F.struct((-(F.col("fa") + F.col("fb"))).alias("f"), F.lower("concept_id").alias("l"), "concept_id")))
+    by_first = F.min(F.struct((-F.col("fa")).alias("f"), F.lower("concept_id").alias("l"), "concept_id"))
+    by_second = F.array_sort(F.collect_list(F.struct((-F.col("fb")).alias("f"), F.lower("concept_id").alias("l"), "concept_id")))
+    cosine = x.join(y, "concept_id").where("a < b").groupBy("a", "b", "na", "nb").agg(F.sum(F.col("fa") * F.col("fb")).alias("dot"), by_both.alias("both"), by_first.alias("first"), by_second.alias("second"))
     ends = citations.join(clusters.select(F.col("work_id").alias("citing"), F.col("cluster_id").alias("x")), "citing").join(clusters.select(F.col("work_id").alias("cited"), F.col("cluster_id").alias("y")), "cited").where("x <> y")
     links = ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("links"))
     size = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
     every = citations.agg(F.count("*").alias("m")).join(clusters.agg(F.count("*").alias("n_all")))
-    rows = cosine.join(links, ["a", "b"], "left").na.fill(0, ["links"]).join(size.select(F.col("cluster_id").alias("a"), F.col("n").alias("size_a")), "a").join(size.select(F.col("cluster_id").alias("b"), F.col("n").alias("size_b")), "b").join(F.broadcast(every))
-    overall = F.col("m") / (F.col("n_all") * (F.col("n_all") - 1) / 2)
-    own_density = F.col("links") / (F.col("size_a") * F.col("size_b"))
-    score = 1 - F.least(F.lit(1.0), own_density / overall)
-    return rows.where((F.col("similarity") >= similar) & (own_density <= density * overall)).select("a", "b", "links", F.round("similarity", 6).alias("similarity"), F.round(0.5 * F.col("similarity") + 0.5 * score, 6).alias("confidence"))
+    into = citations.groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("n_in"))
+    valued = clusters.withColumnRenamed("work_id", "id").join(works, "id").join(into, "id", "left").na.fill(0, ["n_in"])
+    central = valued.groupBy("cluster_id").agg(F.min_by("id", F.struct((-F.col("n_in")).alias("i"), (-F.col("cited_by_count")).alias("c"), F.lower("title").alias("t"), "id")).alias("work"))
+    rows = cosine.select("a", "b", (F.col("dot") / F.col("na") / F.col("nb")).alias("similarity"), "both", "first", "second").where(F.col("similarity") >= similar)
+    rows = rows.join(links, ["a", "b"], "left").na.fill(0, ["links"])
+    for end in "ab":
+        rows = rows.join(size.select(F.col("cluster_id").alias(end), F.col("n").alias(f"size_{end}")), end).join(central.select(F.col("cluster_id").alias(end), F.col("work").alias(f"work_{end}")), end)
+    rows = rows.join(F.broadcast(every))
+    allowed = density * F.col("m") / (F.col("n_all") * (F.col("n_all") - 1))
+    cross = F.col("links") / (F.col("size_a") * F.col("size_b"))
+    score = F.when(F.col("m") > 0, F.greatest(F.lit(0.0), 1 - cross / F.greatest(allowed, F.lit(1e-12)))).otherwise(F.lit(1.0))
+    first = F.col("first.concept_id")
+    second = F.get(F.filter("second", lambda c: c["concept_id"] != first), F.lit(0))["concept_id"]
+    return rows.where((F.col("m") == 0) | (cross <= allowed + 1e-12)).select(
+        "a", "b", "links", F.round("similarity", 6).alias("similarity"), F.round(0.5 * F.col("similarity") + 0.5 * score, 6).alias("confidence"),
+        F.array_join(F.transform(F.slice("both", 1, 3), lambda c: c["concept_id"]), ",").alias("shared"), "work_a", "work_b", F.concat_ws(",", first, second).alias("terms"),
+    )
 
 
 def matrix_voids(work_concepts: DataFrame, least: int = 3, most_share: float = 0.40, score: float = 0.5, limit: int = 10) -> DataFrame:
@@ -234,15 +275,18 @@ def matrix_voids(work_concepts: DataFrame, least: int = 3, most_share: float = 0
     return out.select("a", F.col("c").alias("b"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "a", "b").limit(limit)
 
 
-def stagnation(works: DataFrame, clusters: DataFrame, least: int = 5, window: int = 2, share: float = 0.5) -> DataFrame:
-    """Clusters whose recent works are few against the project's, or whose last work is old."""
+def stagnation(works: DataFrame, clusters: DataFrame, least: int = 5, window: int = 2, ratio: float = 0.5) -> DataFrame:
+    """Clusters of five works or more without one in the last two years, whose recent share is below half of the project's;
+    half of the confidence is the deficit against that half, half the age of the last work."""
     own = works.join(clusters.withColumnRenamed("work_id", "id"), "id")
     newest = works.agg(F.max("year").alias("newest"))
     every = own.join(F.broadcast(newest)).withColumn("recent", F.when(F.col("year") > F.col("newest") - window, 1).otherwise(0))
     project = every.agg(F.avg("recent").alias("project"))
     per = every.groupBy("cluster_id", "newest").agg(F.count("*").alias("size"), F.max("year").alias("last"), F.avg("recent").alias("share")).join(F.broadcast(project))
-    deficit = 1 - F.when(F.col("project") > 0, F.col("share") / F.col("project")).otherwise(F.lit(1.0))
-    return per.where((F.col("size") >= least) & (F.col("share") < share * F.col("project"))).select("cluster_id", "size", "last", F.round(F.greatest(F.lit(0.0), deficit), 6).alias("deficit"))
+    kept = per.where((F.col("size") >= least) & (F.col("last") <= F.col("newest") - window) & (F.col("project") > 0) & (F.col("share") < ratio * F.col("project")))
+    deficit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("share") / F.greatest(ratio * F.col("project"), F.lit(1e-12))))
+    age = F.least(F.lit(1.0), (F.col("newest") - F.col("last")) / float(2 * window))
+    return kept.select("cluster_id", "size", "last", F.round("share", 6).alias("share"), F.round(0.5 * deficit + 0.5 * age, 6).alias("confidence"))
 
 
 def top_per_kind(gaps: DataFrame, most: int = 20) -> DataFrame:

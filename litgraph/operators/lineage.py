@@ -1,14 +1,33 @@
-"""Cutting the lineage of iterative plans through the shared checkpoint folder."""
+"""Cutting the lineage of iterative plans through the shared checkpoint folder, and ranks without a single task."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def saver(spark: SparkSession):
-    """A function that checkpoints to the folder that the session names; one of its own only where none is set."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/litgraph-checkpoints")
+    """A function that checkpoints to the folder that the session names; a local session may have one of its own, a cluster may not."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/litgraph-checkpoints")
     return lambda df: df.checkpoint(eager=True)
+
+
+def ranked(rows: DataFrame, order: list[Column | str], name: str, weight: Column | None = None) -> DataFrame:
+    """The rows with the sum of ``weight`` (one for each, by default) over all rows up to and with their own, in a total order.
+
+    Rows are dealt by ranges of the order; sums within a range are added to those of the ranges before it (one row a range).
+    """
+    dealt = rows.withColumn("_w", weight if weight is not None else F.lit(1)).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = saver(rows.sparkSession)(dealt)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_range").agg(F.sum("_w").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.sum("_w").over(within)).drop("_w", "_range", "_before")
