@@ -49,6 +49,7 @@ VIEWS = {
     "papers": """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'Posted-Content' WHEN 'F' THEN 'article' END AS work_type, CASE WHEN o_orderkey % 3 = 0 THEN concat('2101.', o_orderkey) END AS arxiv_id,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'arXiv (Cornell University)' WHEN '2-HIGH' THEN 'Journal' END AS venue, CASE o_orderkey % 5 WHEN 0 THEN concat('https://doi.org/10.48550/arxiv.', o_orderkey) WHEN 1 THEN concat('10.1000/', o_orderkey) END AS doi,
         concat('https://openalex.org/W', o_orderkey) AS openalex_id, year(o_orderdate) AS year FROM orders""",
+    "articles": "SELECT doc_id AS id, split_part(text, '.', 1) AS title, substr(text, length(split_part(text, '.', 1)) + 2) AS body FROM documents",
     "clusters": """SELECT o_orderkey AS work_id, c_nationkey AS cluster_id FROM orders JOIN customer ON c_custkey = o_custkey""",
 }
 

@@ -44,13 +44,22 @@ def singular(word: Column) -> Column:
     )
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def keyword(term: Column) -> Column:
     """Lower case, separators to spaces, edge punctuation off, the last word singular; null without a letter or digit."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(term), "[_/-]+", " "), r"\s+", " "))
+    flat = F.trim(F.regexp_replace(F.lower(term), r"[_/\s-]+", " "))
     flat = F.regexp_replace(flat, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    last = F.regexp_extract(flat, r"(\S+)$", 1)
-    out = F.concat(F.substring(flat, F.lit(1), F.length(flat) - F.length(last)), singular(last))
-    return F.when(flat.rlike(r"[\p{L}\p{N}]"), out)
+
+    def ended(f: Column) -> Column:
+        head = F.length(f) - F.instr(F.reverse(f), " ") + 1  # letters up to the last blank
+        cut = F.when(F.instr(f, " ") > 0, head).otherwise(F.lit(0))
+        return F.when(f != "", once(cut, lambda n: F.concat(F.substring(f, F.lit(1), n), once(F.substring(f, n + 1, F.length(f)), singular))))
+
+    return once(flat, ended)
 
 
 def acronym(term: Column) -> Column:
