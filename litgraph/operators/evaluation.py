@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lineage import saver
+from .lineage import ranked, saver
 
 
 def identity_groups(records: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def recall_precision(truth: DataFrame, found: DataFrame, included: DataFrame) ->
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1 with ties at their average, from the counts of distinct values."""
+    """Ranks from 1 with ties at their average, from the counts of distinct values, summed over ranges of them."""
     counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select(value, (before + (F.col("_n") + 1) / 2.0).alias(name)), value)
+    placed = ranked(counts, [F.col(value)], "_to", F.col("_n"))
+    return rows.join(placed.select(value, (F.col("_to") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name)), value)
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -47,10 +47,11 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def relevant(rows: DataFrame, uptake: str = "uptake") -> DataFrame:
-    """Ids whose uptake is positive and among the top quarter, ties included."""
+    """Ids whose uptake is positive and among the top quarter, ties included; the cut comes from the counts of distinct values."""
     n = rows.count()
     k = max(1, -(-n // 4))
-    cut = rows.orderBy(F.desc(uptake)).limit(k).agg(F.min(uptake).alias("cut"))
+    counts = rows.groupBy(uptake).agg(F.count("*").alias("_n"))
+    cut = ranked(counts, [F.desc(uptake)], "_to", F.col("_n")).where(F.col("_to") >= k).agg(F.max(uptake).alias("cut"))
     return rows.join(F.broadcast(cut)).where((F.col(uptake) >= F.col("cut")) & (F.col(uptake) > 0)).select("id")
 
 
@@ -97,8 +98,41 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.exceptAll(y).agg(F.count("*").alias("only_left")).join(y.exceptAll(x).agg(F.count("*").alias("only_right"))).select("only_left", "only_right", ((F.col("only_left") == 0) & (F.col("only_right") == 0)).alias("equal"))
 
 
-def random_rate(rows: DataFrame, hit: Column, k: int, draws: int = 20, seed: int = 7) -> DataFrame:
-    """Mean share of hits among k rows drawn without replacement, by a hash of the id and the draw."""
+def random_rate(rows: DataFrame, hit: Column, k: int, draws: int = 20, seed: int = 7, parts: int = 64) -> DataFrame:
+    """Mean share of hits among k rows drawn without replacement, by a hash of the seed, the draw and the id. Each of ``parts`` parts of
+    a draw gives its first k rows, so that no draw gathers in one task."""
     each = rows.select("id", hit.cast("double").alias("hit"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    place = F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64(F.lit(seed), "draw", "id"), "id"))
-    return each.withColumn("place", place).where(F.col("place") <= k).groupBy("draw").agg(F.avg("hit").alias("rate")).agg(F.avg("rate").alias("rate"))
+    each = each.withColumn("mark", F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("draw").cast("string"), F.col("id").cast("string")))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    first = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("mark", "id"))).where(F.col("place") <= k)
+    return first(first(each, "draw", "part"), "draw").groupBy("draw").agg(F.avg("hit").alias("rate")).agg(F.avg("rate").alias("rate"))
+
+
+def frontier_evaluation(works: DataFrame, citations: DataFrame, scored: DataFrame, cutoff: int, horizon: int) -> DataFrame:
+    """(id, score) of a frontier against the uptake of the years after the cutoff: precision at 5 and 10 of its order and of the
+    baseline, the order by citations within the slice."""
+    uptake = future_uptake(works, citations, cutoff, horizon)
+    _, own = time_slice(works, citations, cutoff)
+    local = own.groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("local"))
+    rows = saver(works.sparkSession)(scored.join(uptake, "id").join(local, "id", "left").na.fill(0, ["local"]))
+    hits = relevant(rows)
+    out = rows.agg(F.count("*").alias("windowed")).join(hits.agg(F.count("*").alias("relevant")))
+    for name, order in (("p", "score"), ("base", "local")):
+        for k in (5, 10):
+            out = out.join(precision_at(rows.select("id", F.col(order).alias("score")), hits, k).select(F.col("precision").alias(f"{name}{k}")))  # one row each
+    return out
+
+
+def gap_evaluation(works: DataFrame, citations: DataFrame, clusters: DataFrame, work_concepts: DataFrame, pairs: DataFrame, voids: DataFrame, still: DataFrame, cutoff: int, horizon: int) -> DataFrame:
+    """kind, hypotheses, hits. A bridge (a, b: clusters) is anticipated if a later work cites both, a void (a, b: concepts) if one carries
+    both, stagnation (cluster_id) is confirmed if one later work at most cites the cluster."""
+    later = works.where((F.col("year") > cutoff) & (F.col("year") <= cutoff + horizon)).select("id")
+    cites = citations.join(later.withColumnRenamed("id", "citing"), "citing", "left_semi").join(clusters.withColumnRenamed("work_id", "cited"), "cited").select("citing", "cluster_id").distinct()
+    carries = work_concepts.join(later.withColumnRenamed("id", "work_id"), "work_id", "left_semi").select("work_id", "concept_id").distinct()
+
+    def both(rows: DataFrame, key: str, value: str) -> DataFrame:
+        return rows.select(key, F.col(value).alias("a")).join(rows.select(key, F.col(value).alias("b")), key).where("a < b").select("a", "b").distinct().withColumn("hit", F.lit(1))
+
+    count = lambda kind, rows: rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("hypotheses"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("hits"))
+    citers = cites.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    quiet = still.join(citers, "cluster_id", "left").withColumn("hit", (F.coalesce("n", F.lit(0)) <= 1).cast("int"))
+    return count("bridging", pairs.join(both(cites, "citing", "cluster_id"), ["a", "b"], "left")).union(count("stagnation", quiet)).union(count("matrix_void", voids.join(both(carries, "work_id", "concept_id"), ["a", "b"], "left")))

@@ -9,15 +9,18 @@ from ..bindings import view, views
 from ..operators import evaluation as op
 from ..registry import register
 
-KEYS = """SELECT o_orderkey AS record, 'c' || o_custkey || o_orderpriority AS key FROM orders UNION ALL SELECT o_orderkey, 'd' || o_custkey || '-' || year(o_orderdate) FROM orders"""
-GROUPS = """WITH RECURSIVE k AS (SELECT DISTINCT record, key FROM (""" + KEYS + """) t), e AS (SELECT DISTINCT x.record AS a, y.record AS b FROM k x JOIN k y USING (key)),
-    r AS (SELECT DISTINCT record AS a, record AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS record, min(b) AS "group" FROM r GROUP BY a"""
+# records of one day and group of customers, and of one customer and priority: chains run through many customers
+KEYS = """SELECT o_orderkey AS record, concat('c', o_custkey, o_orderpriority) AS key FROM orders UNION ALL SELECT o_orderkey, concat('d', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '-', o_custkey % 40) FROM orders"""
+LABELS = f"""WITH RECURSIVE k AS MATERIALIZED (SELECT DISTINCT record, key FROM ({KEYS}) t), r(step, record, g, moved) AS (SELECT 0, record, record, true FROM (SELECT DISTINCT record FROM k) z UNION ALL
+    SELECT step, record, g, bool_or(g < old) OVER () FROM (SELECT r.step + 1 AS step, r.record, min(least(r.g, m.g)) AS g, r.g AS old FROM r JOIN k ON k.record = r.record JOIN (SELECT k.key, min(q.g) AS g FROM r q JOIN k ON k.record = q.record GROUP BY 1) m ON m.key = k.key WHERE r.moved GROUP BY r.step, r.record, r.g) z),
+    l AS MATERIALIZED (SELECT record, g FROM r WHERE step = (SELECT max(step) FROM r))"""
+GROUPS = LABELS + ' SELECT record, g AS "group" FROM l'
 
 
 def _keys(spark, sf):
     o = view(spark, sf, "orders")
     one = o.select(F.col("o_orderkey").alias("record"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), "o_orderpriority").alias("key"))
-    return one.union(o.select("o_orderkey", F.concat(F.lit("d"), F.col("o_custkey").cast("string"), F.lit("-"), F.year("o_orderdate").cast("string"))))
+    return one.union(o.select("o_orderkey", F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string"), F.lit("-"), (F.col("o_custkey") % 40).cast("string"))))
 
 
 @register("E01_H01", GROUPS)
@@ -25,7 +28,7 @@ def e01(spark, sf):
     return op.identity_groups(_keys(spark, sf))
 
 
-@register("H01_merge", GROUPS.replace('SELECT a AS record, min(b) AS "group" FROM r GROUP BY a', 'SELECT g AS candidate, count(*) AS records, min(o_orderdate) AS first, max(o_totalprice) AS best FROM (SELECT a, min(b) AS g FROM r GROUP BY a) q JOIN orders ON o_orderkey = a GROUP BY g'))
+@register("H01_merge", LABELS + " SELECT g AS candidate, count(*) AS records, min(o_orderdate) AS first, max(o_totalprice) AS best FROM l JOIN orders ON o_orderkey = record GROUP BY g")
 def h01(spark, sf):
     orders = view(spark, sf, "orders").withColumnRenamed("o_orderkey", "record")
     return orders.join(op.identity_groups(_keys(spark, sf)), "record").groupBy(F.col("group").alias("candidate")).agg(F.count("*").alias("records"), F.min("o_orderdate").alias("first"), F.max("o_totalprice").alias("best"))
@@ -138,7 +141,7 @@ def e10(spark, sf):
     return op.precision_at(works.where("year <= 1999").select("id", F.col("cited_by_count").alias("score")), hits, 10)
 
 
-@register("E13")
+@register("E13", """SELECT avg(rate) AS rate FROM (SELECT draw, avg(CASE WHEN year > 1999 THEN 1.0::DOUBLE ELSE 0.0 END) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('-', 7, draw, id)), id) AS place FROM works, range(1, 21) t(draw)) z WHERE place <= 50 GROUP BY draw) q""")
 def e13(spark, sf):
     return op.random_rate(view(spark, sf, "works").select("id", "year"), F.col("year") > 1999, 50)
 
@@ -148,7 +151,35 @@ def e14(spark, sf):
     return view(spark, sf, "works").agg((F.max("year") - 2).alias("cutoff"))
 
 
-@register("E15", "SELECT 0 AS only_left, 0 AS only_right, true AS equal")
+@register("E15", """WITH a AS (SELECT DISTINCT c_nationkey AS n, o_orderpriority AS p FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 490000), b AS (SELECT DISTINCT c_nationkey AS n, o_orderpriority AS p FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice < 12000)
+    SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) z) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) z) AS only_right, NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM b) AND NOT EXISTS (SELECT * FROM b EXCEPT SELECT * FROM a) AS equal""")
 def e15(spark, sf):
-    c = view(spark, sf, "citations")
-    return op.same_rows(c, c.orderBy(F.desc("citing")))
+    o, c = views(spark, sf, "orders", "customer")
+    rows = o.join(c, F.col("c_custkey") == F.col("o_custkey"))
+    pair = lambda x: x.select(F.col("c_nationkey").alias("n"), F.col("o_orderpriority").alias("p"))
+    return op.same_rows(pair(rows.where("o_totalprice > 490000")), pair(rows.where("o_totalprice < 12000")))
+
+
+PAST = "SELECT * FROM works WHERE year BETWEEN 1997 AND 1999"
+
+
+@register("E11", f"""WITH u AS ({UPTAKE}), p AS (SELECT id, cited_by_count AS score FROM ({PAST}) z), i AS (SELECT p.id, p.score, coalesce(n, 0) AS local, uptake FROM p JOIN u USING (id) LEFT JOIN (SELECT cited AS id, count(*) AS n FROM citations JOIN works a ON a.id = citing JOIN works b ON b.id = cited WHERE a.year <= 1999 AND b.year <= 1999 GROUP BY 1) l USING (id)),
+    r AS (SELECT id FROM i WHERE uptake > 0 AND uptake >= (SELECT min(uptake) FROM (SELECT uptake FROM i ORDER BY uptake DESC LIMIT (SELECT CAST(ceil(count(*) / 4.0) AS BIGINT) FROM i)) z)),
+    f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS a, row_number() OVER (ORDER BY local DESC, id) AS b FROM i)
+    SELECT (SELECT count(*) FROM i) AS windowed, (SELECT count(*) FROM r) AS relevant, (SELECT avg(CASE WHEN id IN (SELECT id FROM r) THEN 1.0 ELSE 0.0 END) FROM f WHERE a <= 5) AS p5, (SELECT avg(CASE WHEN id IN (SELECT id FROM r) THEN 1.0 ELSE 0.0 END) FROM f WHERE a <= 10) AS p10,
+    (SELECT avg(CASE WHEN id IN (SELECT id FROM r) THEN 1.0 ELSE 0.0 END) FROM f WHERE b <= 5) AS base5, (SELECT avg(CASE WHEN id IN (SELECT id FROM r) THEN 1.0 ELSE 0.0 END) FROM f WHERE b <= 10) AS base10""")
+def e11(spark, sf):
+    works, citations = views(spark, sf, "works", "citations")
+    return op.frontier_evaluation(works, citations, works.where(F.col("year").between(1997, 1999)).select("id", F.col("cited_by_count").alias("score")), 1999, 2)
+
+
+@register("E12", """WITH fu AS (SELECT id FROM works WHERE year > 1999 AND year <= 2001), rf AS (SELECT DISTINCT citing, cluster_id AS c FROM citations JOIN eras ON work_id = cited WHERE citing IN (SELECT id FROM fu)), k AS (SELECT DISTINCT cluster_id AS c FROM eras JOIN works ON id = work_id WHERE year <= 1999),
+    b AS (SELECT x.c AS a, y.c AS b FROM k x JOIN k y ON x.c < y.c), h AS (SELECT DISTINCT x.c AS a, y.c AS b FROM rf x JOIN rf y ON x.citing = y.citing AND x.c < y.c), s AS (SELECT c, (SELECT count(DISTINCT citing) FROM rf WHERE rf.c = k.c) AS n FROM k)
+    SELECT 'bridging' AS kind, count(*) AS hypotheses, count(h.a) AS hits FROM b LEFT JOIN h ON h.a = b.a AND h.b = b.b UNION ALL SELECT 'stagnation', count(*), count(*) FILTER (n <= 1) FROM s
+    UNION ALL SELECT 'matrix_void', count(*), count(*) FILTER (EXISTS (SELECT 1 FROM work_concepts x JOIN work_concepts y ON x.work_id = y.work_id WHERE x.concept_id = v.a AND y.concept_id = v.b AND x.work_id IN (SELECT id FROM fu))) FROM (SELECT x.id AS a, y.id AS b FROM concepts x JOIN concepts y ON x.id < y.id) v""")
+def e12(spark, sf):
+    works, citations, eras, wc, concepts = views(spark, sf, "works", "citations", "eras", "work_concepts", "concepts")
+    known = eras.join(works.where("year <= 1999").select(F.col("id").alias("work_id")), "work_id", "left_semi").select("cluster_id").distinct()
+    pairs = known.select(F.col("cluster_id").alias("a")).join(known.select(F.col("cluster_id").alias("b")), F.col("a") < F.col("b"))  # clusters are few
+    voids = concepts.select(F.col("id").alias("a")).join(concepts.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    return op.gap_evaluation(works, citations, eras, wc, pairs, voids, known, 1999, 2)
