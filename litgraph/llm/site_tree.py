@@ -1,6 +1,6 @@
 """Main text of web pages by site style trees.
 
-Every page is parsed once into blocks of text, each with its style node: the path of block elements, with their classes,
+Every page is parsed into blocks of text, each with its style node: the path of block elements, with their classes,
 that leads to it, and its role. The DOMs of one host merge into a style tree: for each node the pages that show it, the texts
 that stand there, and the orders of children that occur. A node's importance joins the diversity of what it contains (a text
 on one page only counts 1, on all pages 0: the entropy of its spread over the pages, to the base of their number) with
@@ -14,8 +14,8 @@ nothing about what it holds, and neither do words about its layout (``has-sideba
 may name a section of it (``SOFT``) leave it undecided. A node on fewer than ``LEAST_PAGES`` pages has the importance of single texts, shifted. What browsers do not show is
 no text of the page. Counts per (host, node, text) are aggregated with map-side partial counts, so that neither a large
 host nor a common text gathers in one task, and joins on nodes are salted. Pages meet the exceptions of their host: nodes and
-texts on which the tree decides against the role alone. While they are few they are broadcast as a list for each host;
-beyond that, blocks are joined with them by (host, key). A style node is the hash of its path, so that memory is
+texts on which the tree decides against the role alone. While they are few (counted) they are sent to all executors and the
+pages are parsed a second time, which costs less than to store their texts; beyond that, blocks are joined with them. A style node is the hash of its path, so that memory is
 proportional to a page however deep it is.
 
 Null and empty html: empty text. Null url: a host of its own. Repeated rows get a row each. Broken markup is read as
@@ -224,35 +224,44 @@ _FEATURES = "array<struct<node:bigint,parent:bigint,kind:int,h:bigint>>"
 ORDER = 2
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, mark (of the blocks), blocks with their node and role, features of the tree."""
+def blocks_of(page: str | None) -> tuple[list[tuple[int, int, int, int, str]], dict[int, str]]:
+    """Blocks that are shown: (node and role, its parent, role, hash of the text, text); and the orders of children."""
+    blocks, children = parse(page or "")
+    return [(_hash(f"{r} {node}"), parent, r, _hash(text), text) for node, parent, r, text in blocks if r > -2], children
+
+
+def parsed(pages: DataFrame, texts: bool = False) -> DataFrame:
+    """host, mark (of the blocks) and features of the tree; with texts also page_id, url and the blocks."""
     feature = pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()), ("h", pa.int64())])
     block = pa.struct([("node", pa.int64()), ("role", pa.int32()), ("h", pa.int64()), ("text", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html", 1 << 22):
-                urls = part.column("url").to_pylist()
                 out = {"host": [], "mark": [], "blocks": [], "features": []}
-                for url, page in zip(urls, part.column("html").to_pylist(), strict=True):
-                    blocks, children = parse(page or "")
-                    mine = [(_hash(f"{r} {node}"), parent, r, _hash(text), text) for node, parent, r, text in blocks if r > -2]
+                for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    mine, children = blocks_of(page)
                     tree = {(node, parent, r, h) for node, parent, r, h, _ in mine} | {(node, 0, ORDER, _hash(order)) for node, order in children.items()}
                     out["host"].append(host_of(url))
                     out["mark"].append(_hash(" ".join(f"{node} {h}" for node, _, _, h, _ in mine)))
-                    out["blocks"].append([{"node": node, "role": r, "h": h, "text": t} for node, _, r, h, t in mine])
                     out["features"].append([{"node": node, "parent": parent, "kind": k, "h": h} for node, parent, k, h in tree])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(out["host"]), pa.array(out["mark"], pa.int64()), pa.array(out["blocks"], pa.list_(block)), pa.array(out["features"], pa.list_(feature))],
-                    names=["page_id", "url", "host", "mark", "blocks", "features"],
-                )
+                    if texts:
+                        out["blocks"].append([{"node": node, "role": r, "h": h, "text": t} for node, _, r, h, t in mine])
+                columns = {"host": pa.array(out["host"], pa.string()), "mark": pa.array(out["mark"], pa.int64()), "features": pa.array(out["features"], pa.list_(feature))}
+                if texts:
+                    columns |= {"page_id": part.column("page_id"), "url": part.column("url"), "blocks": pa.array(out["blocks"], pa.list_(block))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = f"host string, mark long, features {_FEATURES}" + (f", page_id long, url string, blocks {_BLOCKS}" if texts else "")
+    return _rows(pages).mapInArrow(task, schema)
 
-    schema = f"page_id long, url string, host string, mark long, blocks {_BLOCKS}, features {_FEATURES}"
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(task, schema)
+
+def _rows(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
 
 
 def exceptions(rows: DataFrame, threshold: float) -> DataFrame:
-    """host, key: the nodes of a role of -1 that stay, other nodes that go, and texts that go from nodes that stay."""
+    """host, node, h: nodes (h null) of a role of -1 that stay, other nodes that go, and texts that go from nodes that stay."""
     distinct = rows.dropDuplicates(["host", "mark"])
     each = distinct.select("host", F.explode("features").alias("f")).select("host", "f.node", "f.parent", "f.kind", "f.h")
     spread = each.groupBy("host", "node", "parent", "kind", "h").agg(F.count("*").alias("n"))
@@ -269,38 +278,50 @@ def exceptions(rows: DataFrame, threshold: float) -> DataFrame:
     nodes = texts.groupBy("host", "node", "parent", "kind", "pages").agg(F.avg("own").alias("content")).join(shown, ["host", "parent"], "left")
     prior = F.when(known, (1 - CONTENT) * F.coalesce("shown", F.lit(0.0))).otherwise(0.0) + shift
     nodes = nodes.select("host", "node", "kind", prior.alias("prior"), (CONTENT * F.col("content") + prior >= threshold).alias("stays"))
-    against = nodes.where(F.col("stays") == (F.col("kind") < 0)).select("host", F.col("node").alias("key"))
+    against = nodes.where(F.col("stays") == (F.col("kind") < 0)).select("host", "node", F.lit(None).cast("long").alias("h"))
     wide = texts.where(known & (F.col("n") > 1) & (CONTENT * F.col("own") + shift < threshold)).select("host", "node", "h", "own")
     gone = wide.join(nodes.where("stays").select("host", "node", "prior"), ["host", "node"]).where(CONTENT * F.col("own") + F.col("prior") < threshold)
-    return against.union(gone.select("host", F.xxhash64("node", "h").alias("key")))
+    return against.union(gone.select("host", "node", "h"))
+
 
+def _by_broadcast(spark: SparkSession, pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """Few exceptions: they go to all executors, and the pages are parsed once more, so that no text is stored or shuffled."""
+    listed: dict[str, set] = {}
+    for r in keys.collect():  # counted
+        listed.setdefault(r["host"], set()).add((r["node"], r["h"]))
+    known = spark.sparkContext.broadcast(listed)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html", 1 << 22):
+                out = []
+                for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    own = known.value.get(host_of(url), ())
+                    out.append("\n\n".join(t for node, _, r, h, t in blocks_of(page)[0] if (r < 0) == ((node, None) in own) and (node, h) not in own))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-def _kept_by_list(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows' blocks that stay, with few keys: a list of them for each host is broadcast."""
-    lists = F.broadcast(keys.groupBy("host").agg(F.collect_set("key").alias("keys")))
-    listed = lambda key: F.coalesce(F.array_contains("keys", key), F.lit(False))
-    keep = lambda b: ((b["role"] < 0) == listed(b["node"])) & ~listed(F.xxhash64(b["node"], b["h"]))
-    return rows.select("page_id", "url", "host", "blocks").join(lists, "host", "left").select("page_id", "url", F.filter("blocks", keep).alias("blocks"))
+    return _rows(pages).mapInArrow(task, "page_id long, url string, text string")
 
 
-def _kept_by_join(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The same with any number of keys: places of blocks, without their texts, meet them by (host, key)."""
+def _by_join(pages: DataFrame, keys: DataFrame, folder: str) -> DataFrame:
+    """Any number of exceptions: places of blocks, without their texts, meet them by host, node and text."""
+    rows = stored(parsed(pages, True).withColumn("row", F.monotonically_increasing_id()), f"{folder}/blocks")
     each = rows.select("row", "host", F.posexplode("blocks").alias("place", "b")).select(
-        "row", "host", "place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("b.node").alias("key")), F.struct(F.lit(1).alias("kind"), F.xxhash64("b.node", "b.h").alias("key")))).alias("x")
+        "row", "host", "place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("b.node").alias("node"), F.lit(None).cast("long").alias("h")), F.struct(F.lit(1).alias("kind"), F.col("b.node").alias("node"), F.col("b.h").alias("h")))).alias("x")
     )
-    met = each.select("row", "host", "place", "x.*").join(keys.distinct(), ["host", "key"], "left_semi")
+    each, keys = each.select("row", "host", "place", "x.*").alias("e"), keys.distinct().alias("k")
+    met = each.join(keys, (F.col("e.host") == F.col("k.host")) & (F.col("e.node") == F.col("k.node")) & F.col("e.h").eqNullSafe(F.col("k.h")), "left_semi")
     places = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("place")))
     hit = met.groupBy("row").agg(places(0).alias("nodes"), places(1).alias("texts"))
     listed = lambda name, i: F.coalesce(F.array_contains(name, i), F.lit(False))
     keep = lambda b, i: ((b["role"] < 0) == listed("nodes", i)) & ~listed("texts", i)
-    return rows.select("row", "page_id", "url", "blocks").join(hit, "row", "left").select("page_id", "url", F.filter("blocks", keep).alias("blocks"))
+    kept = rows.select("row", "page_id", "url", "blocks").join(hit, "row", "left").select("page_id", "url", F.filter("blocks", keep).alias("blocks"))
+    return kept.select("page_id", "url", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("text"))
 
 
 def extract(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOLD, most_keys: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars."""
     folder = shared_dir(spark)
-    rows = stored(parsed(pages).withColumn("row", F.monotonically_increasing_id()), f"{folder}/parsed")
-    keys = stored(exceptions(rows.select("host", "mark", "features"), threshold), f"{folder}/keys")
-    kept = (_kept_by_list if keys.count() <= most_keys else _kept_by_join)(rows, keys)
-    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
-    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    keys = stored(exceptions(stored(parsed(pages), f"{folder}/parsed"), threshold), f"{folder}/keys")
+    text = _by_broadcast(spark, pages, keys) if keys.count() <= most_keys else _by_join(pages, keys, folder)
+    return text.withColumn("n_chars", F.length("text").cast("long"))
