@@ -9,14 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for what driver and executors share; a local session may have one of its own, a cluster may not."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/litgraph-checkpoints"
+    return folder.rstrip("/")
+
+
 def saver(spark: SparkSession):
-    """A function that checkpoints to the folder that the session names; a local session may have one of its own, a cluster may not."""
+    """A function that checkpoints to the shared folder."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/litgraph-checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint(eager=True)
 
 

@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from . import analysis, competency, concepts, evaluation, harvest, insights, keyphrases, passages, scalars, screening, sources, store, streams, validation  # noqa: F401
+from . import analysis, competency, concepts, evaluation, harvest, insights, keyphrases, passages, scalars, screening, sources, store, streams, validation, writes  # noqa: F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import view, views
 from ..functions.text import fold, page_text, relaxed
+from ..operators.outline import highlights, outlines
 from ..registry import register
 
 
@@ -59,6 +60,24 @@ def d12(spark, sf):
     return quotes_in(*views(spark, sf, "documents", "benchmark"), flat).agg(F.count("*").alias("found"))
 
 
+@register("D09_D10")
+def d09(spark, sf):
+    """Headings put before the lines of each text, so that every document has a sequence to follow."""
+    docs = view(spark, sf, "documents")
+    lines = F.split("text", "\n")
+    numbered = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(" Part "), i.cast("string"), F.lit("\n"), x)), "\n")
+    return outlines(docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("Abstract\n"), numbered).alias("text")))
+
+
+@register("D11")
+def d11(spark, sf):
+    """Where on its lines each benchmark item stands that a document holds."""
+    docs, items = views(spark, sf, "documents", "benchmark")
+    found = quotes_in(docs, items, fold).select("doc_id", "item_id")
+    pairs = found.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("quote")), "item_id")
+    return highlights(pairs)
+
+
 @register("G26", """SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::VARCHAR AS page FROM conversations""")
 def g26(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
