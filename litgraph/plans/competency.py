@@ -39,10 +39,10 @@ QUESTIONS = {
     "CQ09": """SELECT c.cluster_id, round(avg(CASE WHEN w.year >= 2000 THEN 1e0 ELSE 0e0 END), 6) AS growth, min(w.id) AS first_seen FROM clusters c JOIN works w ON w.id = c.work_id GROUP BY c.cluster_id""",
     "CQ10": """SELECT s.share, v.venue FROM (SELECT round(avg(CASE WHEN work_type = 'O' THEN 1e0 ELSE 0e0 END), 6) AS share FROM works WHERE year >= 2000) s
         LEFT JOIN (SELECT DISTINCT venue FROM works WHERE year >= 2000 AND work_type = 'O') v ON true""",
-    "CQ11": """SELECT x.cluster_id AS a, y.cluster_id AS b FROM (SELECT cluster_id, avg(cited_by_count) AS m FROM clusters JOIN works ON id = work_id GROUP BY cluster_id) x
-        JOIN (SELECT cluster_id, avg(cited_by_count) AS m FROM clusters JOIN works ON id = work_id GROUP BY cluster_id) y ON x.cluster_id < y.cluster_id
-        WHERE least(x.m, y.m) / greatest(x.m, y.m) >= :close AND NOT EXISTS (SELECT 1 FROM citations JOIN works p ON p.id = citing AND p.year = 1995 JOIN clusters u ON u.work_id = citing JOIN clusters v ON v.work_id = cited
-            WHERE u.cluster_id = x.cluster_id AND v.cluster_id = y.cluster_id)""",
+    "CQ11": """SELECT x.cluster_id AS a, y.cluster_id AS b FROM (SELECT cluster_id, avg(cited_by_count) AS m FROM eras JOIN works ON id = work_id GROUP BY cluster_id) x
+        JOIN (SELECT cluster_id, avg(cited_by_count) AS m FROM eras JOIN works ON id = work_id GROUP BY cluster_id) y ON x.cluster_id < y.cluster_id
+        LEFT JOIN (SELECT DISTINCT least(u.cluster_id, v.cluster_id) AS a, greatest(u.cluster_id, v.cluster_id) AS b FROM citations JOIN eras u ON u.work_id = citing JOIN eras v ON v.work_id = cited) c ON c.a = x.cluster_id AND c.b = y.cluster_id
+        WHERE c.a IS NULL AND least(x.m, y.m) / greatest(x.m, y.m) >= :close""",
     "CQ12": """SELECT DISTINCT c.method, c.value, w.title, w.year, r.stage FROM contributions c JOIN works w ON w.id = c.work_id JOIN reviews r ON r.work_id = c.work_id WHERE c.work_id = :work""",
     "CQ13": """SELECT r.work_id, r.reason, r.stage FROM reviews r WHERE r.review_id = :review AND r.decision = 'exclude'""",
     "CQ14": """SELECT p.p_partkey AS gap, p.p_brand AS note, l.n FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) l ON l.l_partkey = p.p_partkey WHERE p.p_size > 40""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +14,44 @@ from ..operators.outline import highlights, outlines
 from ..registry import register
 
 
+#: Quotes that one automaton holds; more of them go block by block.
+MOST_QUOTES = 50_000
+
+
 def quotes_in(docs: DataFrame, quotes: DataFrame, folded) -> DataFrame:
-    """A stated list of quotes against all texts: (doc_id, item_id, pos), the place in the folded text, from 1."""
+    """(doc_id, item_id, pos): the first place, from 1, of each quote in each folded text that holds it. Texts are read once for a
+    block of quotes, by an automaton over all of them, whatever their number. Empty quotes stand nowhere."""
+    spark = docs.sparkSession
     texts = docs.select("doc_id", folded(F.col("text")).alias("t"))
-    wanted = quotes.select("item_id", folded(F.col("text")).alias("q"))
-    return texts.crossJoin(F.broadcast(wanted)).where(F.contains("t", "q")).select("doc_id", "item_id", F.expr("locate(q, t)").alias("pos"))
+    wanted = quotes.select("item_id", folded(F.col("text")).alias("q")).where("q <> ''")
+    blocks = max(1, -(-wanted.count() // MOST_QUOTES))
+    out = None
+    for k in range(blocks):
+        part: dict[str, list[int]] = {}
+        for r in wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k).collect():  # about MOST_QUOTES
+            part.setdefault(r["q"], []).append(r["item_id"])
+        given = spark.sparkContext.broadcast(part)
+
+        def task(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for q in given.value:
+                automaton.add_word(q, q)
+            if given.value:
+                automaton.make_automaton()
+            for b in batches:
+                rows = []
+                for doc, text in b.itertuples(index=False):
+                    first: dict[str, int] = {}
+                    for end, q in automaton.iter(text) if text and given.value else ():
+                        first.setdefault(q, end - len(q) + 2)
+                    rows += [(doc, item, pos) for q, pos in first.items() for item in given.value[q]]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "pos"])
+
+        found = texts.mapInPandas(task, "doc_id long, item_id long, pos int")
+        out = found if out is None else out.union(found)
+    return out
 
 
 FOLD = "regexp_replace(lower({}), '[ \\t\\n\\r\\f\\v]+', '', 'g')"

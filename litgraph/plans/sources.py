@@ -47,11 +47,11 @@ def s13(spark, sf):
 KEY = """sha256('{"endpoint":"works","params":{"limit":"' || (o_custkey % 5) || '","q":"' || o_orderpriority || '"},"source":"openalex"}')"""
 
 
-@register("S14", f"SELECT DISTINCT {KEY} AS key FROM orders WHERE {KEY} NOT IN (SELECT {KEY} FROM orders WHERE o_orderstatus = 'P')")
+@register("S14", f"SELECT DISTINCT {KEY} AS key FROM orders WHERE {KEY} NOT IN (SELECT {KEY} FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 480000)")
 def s14(spark, sf):
     o = view(spark, sf, "orders")
     key = op.cache_key(F.lit("openalex"), F.lit("works"), F.create_map(F.lit("q"), F.col("o_orderpriority"), F.lit("limit"), (F.col("o_custkey") % 5).cast("string")))
-    return op.misses(o.select(key.alias("key")).distinct(), o.where("o_orderstatus = 'P'").select(key.alias("key")).distinct())
+    return op.misses(o.select(key.alias("key")).distinct(), o.where("o_orderstatus = 'P' AND o_totalprice > 480000").select(key.alias("key")).distinct())
 
 
 PDFS = "SELECT l_orderkey AS work_id, 'https://host/' || l_partkey AS url, CASE WHEN l_tax > 0.06 THEN 'paid' ELSE 'free' END AS host, CASE l_returnflag WHEN 'A' THEN 'publishedVersion' WHEN 'R' THEN 'acceptedVersion' END AS version, l_suppkey * 10 + l_linenumber AS idx FROM lineitem"
@@ -65,9 +65,11 @@ def s21(spark, sf):
     return op.rank_pdfs(li.select(F.col("l_orderkey").alias("work_id"), F.concat(F.lit("https://host/"), F.col("l_partkey").cast("string")).alias("url"), F.when(F.col("l_tax") > 0.06, "paid").otherwise("free").alias("host"), version.alias("version"), (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("idx")))
 
 
-@register("S25", "SELECT DISTINCT url FROM pages WHERE regexp_matches(url, '^https?://(www\\.)?tionble\\.example\\.org/en/')")
+@register("S25", "SELECT DISTINCT url FROM pages WHERE regexp_replace(split_part(url, '/', 3), '^www\\.', '') IN (SELECT regexp_replace(split_part(url, '/', 3), '^www\\.', '') FROM pages WHERE page_id < 20) AND regexp_matches(url, '^https?://[^/]+/en/')")
 def s25(spark, sf):
-    return op.allowed(view(spark, sf, "pages").select("url"), spark.createDataFrame([("tionble.example.org", "/en/")], "host string, prefix string"))
+    pages = view(spark, sf, "pages")
+    host = F.regexp_replace(F.split_part("url", F.lit("/"), F.lit(3)), r"^www\.", "")
+    return op.allowed(pages.select("url"), pages.where("page_id < 20").select(host.alias("host"), F.lit("/en/").alias("prefix")).distinct())
 
 
 @register("S29", "SELECT coalesce(d, t) AS key, count(*) AS n, min(o_orderkey) AS first FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'doi:' || o_custkey END AS d, 'title:' || o_orderpriority || '|' || year(o_orderdate) AS t FROM orders) q GROUP BY 1")
