@@ -139,3 +139,42 @@ def h12(spark, sf):
     listed = rows.withColumn("place", place).where("place <= 5").select("p", "place", F.col("id").alias("hit"), F.col("title").alias("t"), F.col("year").alias("y"))
     hits = rows.select("id", "p").join(listed, "p").select("id", "place", "hit", F.col("t").alias("title"), F.col("y").alias("year"))
     return op.fallback(rows.select("id", "title", "year"), hits)
+
+
+@register("S11", "SELECT id, (2101 + id // 100000) || '.' || lpad(CAST(id % 100000 AS VARCHAR), 5, '0') AS arxiv, 'Title of ' || id AS title, year FROM papers WHERE arxiv_id IS NOT NULL")
+def s11(spark, sf):
+    """Atom entries of all papers on arXiv, read and looked up by the ids asked for, each once."""
+    from ..sources.records import arxiv_atom
+
+    number = F.concat((F.lit(2101) + F.floor(F.col("id") / 100000)).cast("string"), F.lit("."), F.lpad((F.col("id") % 100000).cast("string"), 5, "0"))
+    papers = view(spark, sf, "papers").where("arxiv_id IS NOT NULL").withColumn("arxiv_id", number)
+    text = lambda s: F.lit(s)
+    entry = F.concat(text("<entry><id>http://arxiv.org/abs/"), "arxiv_id", text("v2</id><title>Title  of\n "), F.col("id").cast("string"), text("</title><summary>s</summary><published>"), F.col("year").cast("string"), text("-01-01T00:00:00Z</published><author><name>A B</name></author></entry>"))
+    asked = papers.select("id", F.regexp_replace("arxiv_id", r"v\d+$", "").alias("arxiv")).union(papers.select("id", "arxiv_id")).distinct()
+    return asked.join(arxiv_atom(papers.select(entry.alias("raw"))).dropDuplicates(["arxiv"]), "arxiv").select("id", "arxiv", "title", "year")
+
+
+STAGES = """WITH s AS (SELECT project_id AS p, work_id FROM inclusions WHERE depth = 0 AND score > 0.45), e AS (SELECT DISTINCT s.p, cited AS work_id FROM citations JOIN s ON s.work_id = citing UNION SELECT s.p, citing FROM citations JOIN s ON s.work_id = cited),
+    c AS (SELECT p, work_id FROM s UNION SELECT p, work_id FROM e), r AS (SELECT c.p, c.work_id, score, row_number() OVER (PARTITION BY c.p ORDER BY coalesce(score, 0) DESC, c.work_id) AS place FROM c LEFT JOIN inclusions i ON i.project_id = c.p AND i.work_id = c.work_id)"""
+
+
+@register("H10", STAGES + """ SELECT 'seeds' AS stage, p AS project, count(*) AS n FROM s GROUP BY p UNION ALL SELECT 'candidates', p, count(*) FROM c GROUP BY p UNION ALL SELECT 'included', p, count(*) FROM r WHERE place <= 150 GROUP BY p
+    UNION ALL SELECT 'citations', p, count(*) FROM (SELECT x.p FROM citations JOIN r x ON x.work_id = citing AND x.place <= 150 JOIN r y ON y.work_id = cited AND y.p = x.p AND y.place <= 150) z GROUP BY p""")
+def h10(spark, sf):
+    """A whole run for every project: seeds, expansion both ways, the best 150, their citations; the report of each stage."""
+    from ..operators.lineage import saver
+
+    inc, citations = views(spark, sf, "inclusions", "citations")
+    save = saver(spark)
+    own = inc.select(F.col("project_id").alias("project"), "work_id", "score")
+    seeds = inc.where("depth = 0 AND score > 0.45").select(F.col("project_id").alias("project"), "work_id").distinct()
+    ahead = citations.join(seeds.withColumnRenamed("work_id", "citing"), "citing").select("project", F.col("cited").alias("work_id"))
+    back = citations.join(seeds.withColumnRenamed("work_id", "cited"), "cited").select("project", F.col("citing").alias("work_id"))
+    candidates = save(seeds.union(ahead).union(back).distinct())
+    # a project's first 150 from the first 150 of each of its parts, so that no project gathers in one task
+    rows = candidates.join(own, ["project", "work_id"], "left").withColumn("part", F.pmod(F.xxhash64("work_id"), F.lit(64)))
+    first = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "work_id"))).where("place <= 150")
+    included = save(first(first(rows, "project", "part"), "project").select("project", "work_id"))
+    edges = citations.join(included.withColumnRenamed("work_id", "citing"), "citing").join(included.withColumnRenamed("work_id", "cited"), ["project", "cited"])
+    report = [df.groupBy("project").agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "project", "n") for name, df in (("seeds", seeds), ("candidates", candidates), ("included", included), ("citations", edges))]
+    return report[0].union(report[1]).union(report[2]).union(report[3])

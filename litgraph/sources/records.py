@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import arxiv_of, doi_of, openalex_of
@@ -46,11 +46,13 @@ def unpaywall(raw: DataFrame, column: str = "raw") -> DataFrame:
     return r.select(doi_of(F.col("r.doi")).alias("doi"), F.array_distinct(F.array_compact(urls)).alias("pdfs"))
 
 
-def arxiv_atom(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of Atom feeds."""
-    schema = "id string, title string, summary string, published string, `arxiv:doi` string, author array<struct<name:string>>"
-    rows = spark.read.schema(schema).format("xml").option("rowTag", "entry").load(path)
-    return rows.select(arxiv_of(F.col("id")).alias("arxiv"), F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), F.trim("summary").alias("abstract"), F.substring("published", 1, 4).cast("int").alias("year"), F.transform("author", lambda a: a["name"]).alias("authors"))
+ENTRY = "id string, title string, summary string, published string, author array<struct<name:string>>"
+
+
+def arxiv_atom(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """Entries of Atom feeds, one a row; an entry that cannot be read gives nulls."""
+    e = raw.select(F.from_xml(column, ENTRY).alias("e")).select("e.*")
+    return e.select(arxiv_of(F.col("id")).alias("arxiv"), F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), F.trim("summary").alias("abstract"), F.substring("published", 1, 4).cast("int").alias("year"), F.transform("author", lambda a: a["name"]).alias("authors"))
 
 
 def cache_key(source: Column, endpoint: Column, params: Column) -> Column:
