@@ -98,10 +98,6 @@ def titles_match(a: Column, b: Column, least: float = 0.9) -> Column:
     return (fold_title(a, "compact") == fold_title(b, "compact")) | (token_jaccard(split(a), split(b)) >= least)
 
 
-def years_match(a: Column, b: Column, window: int = 1) -> Column:
-    return a.isNull() | b.isNull() | (F.abs(a - b) <= window)
-
-
 def gap_id(kind: Column, evidence: Column) -> Column:
     """The digest of a compact JSON array of the type and its sorted evidence."""
     quoted = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(evidence), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ","), F.lit("]"))
