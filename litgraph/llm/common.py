@@ -72,10 +72,6 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def local_path(uri: str) -> tuple[object, str]:
     """The pyarrow file system and path of a URI (file, hdfs, s3, gs or a plain path)."""
     from pyarrow import fs
