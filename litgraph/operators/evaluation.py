@@ -76,10 +76,10 @@ def future_uptake(works: DataFrame, citations: DataFrame, cutoff: int, horizon:
 
 def weight_grid(spark: SparkSession, values: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), parts: int = 5) -> DataFrame:
     """All vectors of the values, normalised and distinct."""
-    one = spark.createDataFrame([(v,) for v in values], "w double")
-    out = one.select(F.col("w").alias("w0"))
-    for i in range(1, parts):
-        out = out.crossJoin(one.select(F.col("w").alias(f"w{i}")))  # values ** parts rows, whatever the data
+    out = spark.range(1, numPartitions=1).select()
+    for i in range(parts):
+        # values ** parts rows, whatever the data; a join of small tables would multiply their partitions instead
+        out = out.select("*", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(f"w{i}"))
     total = sum((F.col(f"w{i}") for i in range(1, parts)), F.col("w0"))
     return out.where(total > 0).select(*[F.round(F.col(f"w{i}") / total, 9).alias(f"w{i}") for i in range(parts)]).distinct()
 
