@@ -209,3 +209,24 @@ def test_voids_as_bits_and_as_rows(spark):
     rows = spark.createDataFrame([(w, f"é{c}" if c % 3 else f"z{c}") for w in range(150) for c in rnd.sample(range(70), 3)], "work_id long, concept_id string")
     got = [tuple(r) for r in analysis.matrix_voids(rows, limit=5000).collect()]
     assert len(got) > 100 and got == [tuple(r) for r in analysis.matrix_voids(rows, limit=5000, dense=0).collect()]
+
+
+def test_phrases_within_texts_and_over_rows(spark):
+    """Both ways of the key phrases, on odd words, repeated phrases, empty texts and texts that share an id."""
+    from litgraph.operators import keyphrases
+
+    rnd = random.Random(5)
+    pool = "graph graphs GNNs GNN state-of-art state of art self-attention attention policies policy the 2020 b2b größe größen l'air x-ray fine-grained assembly bus buses, networks. models LLMS llm's and (deep) copyright arxiv learning".split()
+    rows = [(i, " ".join(rnd.choices(pool, k=rnd.randint(0, 6))), " ".join(rnd.choices(pool, k=rnd.randint(0, 60)))) for i in range(80)] + [(90, None, ""), (91, "", None), (92, "graph networks", "graph networks learning")]
+    save = lineage.saver(spark)
+    texts = spark.createDataFrame(rows, "id long, title string, body string").repartition(3)
+    fast, plain = keyphrases.Corpus(texts, save), keyphrases.Corpus(texts, save, most_plurals=-1)
+    many = keyphrases.Corpus(texts, save, most_kept=0)
+    assert fast.found is None and plain.found is not None and many.found is None
+    key = lambda df: sorted(map(str, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
+    for get in (lambda c: c.statistics(), lambda c: c.truncated(), lambda c: c.counts(), lambda c: c.known(), lambda c: c.best(8).withColumn("raw", F.round("raw", 9)).withColumn("best", F.round("best", 9))):
+        assert key(get(fast)) == key(get(plain)) == key(get(many))
+    assert fast.best(8).count() > 100 and fast.truncated().count() >= 0
+    twice = keyphrases.Corpus(texts.union(texts.where("id = 92")), save)
+    assert twice.found is not None
+    assert {r["phrase"]: r["df"] for r in twice.statistics().collect()} == {r["phrase"]: r["df"] for r in fast.statistics().collect()}
