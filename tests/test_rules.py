@@ -230,3 +230,13 @@ def test_phrases_within_texts_and_over_rows(spark):
     twice = keyphrases.Corpus(texts.union(texts.where("id = 92")), save)
     assert twice.found is not None
     assert {r["phrase"]: r["df"] for r in twice.statistics().collect()} == {r["phrase"]: r["df"] for r in fast.statistics().collect()}
+
+
+def test_texts_without_a_part_have_no_notice_or_link(spark):
+    """What the patterns find in any spelling has one of the parts that let them search."""
+    notices = ["Association  for\nComputational linguistics", "PROCEEDINGS of", "© x", "(C) 1999", "Copyright", "arXiv", "Published as a conference paper", "Licenced under", "LICENSED  under", "All rights\treserved", "x In: y"]
+    links = ["ftp://a", "HTTP://x", "WWW.x", "a@b.cd", "DOI: x", "10.1000/x", "a.COM", "b.org/x", "c.net", "d.io", "e.ai", "f.edu", "g.gov", "h.dev", "i.htm", "j.html", "GitHub/x", "gitlab", "bitbucket", "huggingface"]
+    cut = lambda texts, f: [r["y"] for r in spark.createDataFrame([(f"We do  q {t}",) for t in texts], "x string").select(f(F.col("x")).alias("y")).collect()]
+    assert all(n not in got and got.startswith("We do  q") for n, got in zip(notices, cut(notices, kt.strip_boilerplate), strict=True))
+    assert all(" ; " in got for got in cut(links, kt.strip_links))
+    assert cut([" A b.  C d?\n e \t"], kt.strip_boilerplate) == ["We do  q  A b. C d? e"]
