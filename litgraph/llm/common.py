@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that the numpy kernels take at once: bounds their temporary arrays to some tens of MB.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +84,8 @@ def local_path(uri: str) -> tuple[object, str]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each; a longer text stands alone, whole."""
+    """Parts of a batch with about ``most`` bytes of text each; a longer text stands alone, whole. After the last, what the batch's
+    temporary arrays took goes back to the system."""
     lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends = np.cumsum(lengths)
     at, n = 0, batch.num_rows
@@ -91,6 +94,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    trim()
+
+
+def trim() -> None:
+    """Gives the freed memory that the allocators of numpy and pyarrow keep back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

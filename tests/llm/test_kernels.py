@@ -280,3 +280,18 @@ def test_site_tree_parse():
 def test_tree_weights():
     tree = sharding.topology(17)
     assert [c.weight for c in tree.children] == [8.0, 8.0, 1.0]
+
+
+def test_a_batch_gives_its_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from litgraph.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "", "cdefg", "h"] * 3)], names=["text"])
+    parts = list(common.slices(batch, most=4))
+    assert len(parts) > 1 and calls == [1]
+    assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
+    monkeypatch.undo()
+    common.trim()
